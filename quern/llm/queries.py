@@ -21,6 +21,20 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, write_tokens(tables(spark, sf_dir, "documents"), _path("word_bpe_49k.json"), end_id=1, length=1024))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quern.llm.bytebpe import encode_documents
+
+    return encode_documents(tables(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.secrets import scan_documents
+
+    return scan_documents(tables(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.packing import pack_documents
 
@@ -29,6 +43,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_secret_scan": op5_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
