@@ -21,6 +21,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, write_tokens(tables(spark, sf_dir, "documents"), _path("word_bpe_49k.json"), end_id=1, length=1024))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.media import encode_media
+
+    return encode_media(tables(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +49,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
+    "op3_media": op3_media,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
