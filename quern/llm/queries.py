@@ -41,6 +41,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(tables(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.toxicity import score_documents
+
+    return score_documents(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.quality import judge_documents
+
+    return judge_documents(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.packing import pack_documents
 
@@ -52,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media": op3_media,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
