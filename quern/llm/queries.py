@@ -41,6 +41,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(tables(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.langid import identify_documents
+
+    return identify_documents(tables(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.toxicity import score_documents
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media": op3_media,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
+    "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
