@@ -65,6 +65,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(tables(spark, sf_dir, "documents"), _path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.templates import drop_lines
+
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_lines(docs, counts=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_media": op3_media,
@@ -74,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
