@@ -15,6 +15,12 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.partenum import similar_documents
+
+    return similar_documents(tables(spark, sf_dir, "documents"), percent=70, n=3)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.token_store import read_tokens, write_tokens
 
@@ -73,6 +79,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_token_store": op2_token_store,
     "op3_media": op3_media,
     "op4_byte_bpe": op4_byte_bpe,
