@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from quern.operators import weight as W
 from quern.operators.corpus import Corpus, merge_by_class, merge_weighted
 
-BY_DOC = Window.partitionBy("doc_id")
+def by_doc():
+    return Window.partitionBy("doc_id")
+
 
 
 def smoothed(corpus: Corpus, method: str = "laplace", m: float = 1.0, alphas: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -41,13 +43,13 @@ def smoothed(corpus: Corpus, method: str = "laplace", m: float = 1.0, alphas: Da
 
 def softmax(scores: DataFrame) -> DataFrame:
     """doc_id, class, log_score to doc_id, class, score (sum 1 a document)."""
-    e = F.exp(F.col("log_score") - F.max("log_score").over(BY_DOC))
-    return scores.withColumn("e", e).select("doc_id", "class", (F.col("e") / F.sum("e").over(BY_DOC)).alias("score"))
+    e = F.exp(F.col("log_score") - F.max("log_score").over(by_doc()))
+    return scores.withColumn("e", e).select("doc_id", "class", (F.col("e") / F.sum("e").over(by_doc())).alias("score"))
 
 
 def ranked(scores: DataFrame, top: int | None = None) -> DataFrame:
     """Adds rank (1 best; ties: the class first in order)."""
-    out = scores.withColumn("rank", F.row_number().over(BY_DOC.orderBy(F.desc("score"), "class")))
+    out = scores.withColumn("rank", F.row_number().over(by_doc().orderBy(F.desc("score"), "class")))
     return out.where(F.col("rank") <= top) if top else out
 
 
@@ -67,7 +69,7 @@ def naive_bayes(corpus: Corpus, method: str = "laplace", tag: str = "test", bina
     N + 1. Documents without known words get the priors."""
     rows = _known(corpus, tag).withColumn("m", F.lit(1.0) if binary else F.col("n").cast("double"))
     if event == "document_then_word":
-        rows = rows.withColumn("m", F.col("m") * length / F.sum("n").over(BY_DOC))
+        rows = rows.withColumn("m", F.col("m") * length / F.sum("n").over(by_doc()))
     seen, unseen = smoothed(corpus, method, **smooth)
     size = rows.groupBy("doc_id").agg(F.sum("m").alias("size"))
     if method == "dirichlet":
@@ -147,25 +149,25 @@ def rocchio(corpus: Corpus, tag: str = "test", form: str = "log", by: str = "doc
 
 def prind(corpus: Corpus, tag: str = "test") -> DataFrame:
     """doc_id, class, score: sum of P(w|d) P(c) P(w|c) / P(w), scaled to sum 1; documents without known words: uniform."""
-    rows = _known(corpus, tag).withColumn("q", F.col("n") / F.sum("n").over(BY_DOC))
+    rows = _known(corpus, tag).withColumn("q", F.col("n") / F.sum("n").over(by_doc()))
     priors = F.broadcast(corpus.class_stats.select("class", "prior"))
     sums = rows.join(W.prind_weights(corpus), "word").groupBy("doc_id", "class").agg(F.sum(F.col("q") * F.col("weight")).alias("s"))
     all_ = _documents(corpus, tag).crossJoin(priors).join(sums, ["doc_id", "class"], "left").withColumn("s", F.coalesce(F.col("s") * F.col("prior"), F.lit(0.0)))
-    total = F.sum("s").over(BY_DOC)
-    return all_.select("doc_id", "class", F.when(total > 0, F.col("s") / total).otherwise(1 / F.count("*").over(BY_DOC)).alias("score"))
+    total = F.sum("s").over(by_doc())
+    return all_.select("doc_id", "class", F.when(total > 0, F.col("s") / total).otherwise(1 / F.count("*").over(by_doc())).alias("score"))
 
 
 def kl_divergence(corpus: Corpus, tag: str = "test") -> DataFrame:
     """doc_id, class, score: ln prior / N + sum of P(w|d) ln(P(w|c) / P(w|d)), scaled to sum -1; Laplace P(w|c)."""
     seen, unseen = smoothed(corpus)
-    rows = _known(corpus, tag).withColumn("q", F.col("n") / F.sum("n").over(BY_DOC))
+    rows = _known(corpus, tag).withColumn("q", F.col("n") / F.sum("n").over(by_doc()))
     gain = seen.join(F.broadcast(unseen), "class").select("class", "word", F.log(F.col("p") / F.col("p0")).alias("gain"))
     delta = rows.join(gain, "word").groupBy("doc_id", "class").agg(F.sum(F.col("q") * F.col("gain")).alias("delta"))
     own = rows.groupBy("doc_id").agg(F.sum("n").alias("size"), F.sum(F.col("q") * F.log("q")).alias("neg_entropy"))
     classes = F.broadcast(corpus.class_stats.select("class", F.log("prior").alias("log_prior")).join(unseen, "class"))
     raw = own.crossJoin(classes).join(delta, ["doc_id", "class"], "left")
     raw = raw.select("doc_id", "class", (F.col("log_prior") / F.col("size") + F.log("p0") + F.coalesce("delta", F.lit(0.0)) - F.col("neg_entropy")).alias("s"))
-    return raw.select("doc_id", "class", (F.col("s") / F.abs(F.sum("s").over(BY_DOC))).alias("score"))
+    return raw.select("doc_id", "class", (F.col("s") / F.abs(F.sum("s").over(by_doc()))).alias("score"))
 
 
 def evidence(corpus: Corpus, tag: str = "test") -> DataFrame:
@@ -190,7 +192,7 @@ def nearest(corpus: Corpus, k: int = 30, code: str = "ltc", query: str = "ltc",
     train = W.smart(corpus.tf.join(_documents(corpus, "train"), "doc_id", "left_semi"), corpus.docs, code)
     asked = W.smart(corpus.tf, corpus.docs, query).join(_documents(corpus, tag), "doc_id", "left_semi")
     sims = asked.select("doc_id", "word", F.col("weight").alias("q")).join(train.select(F.col("doc_id").alias("other"), "word", "weight"), "word").groupBy("doc_id", "other").agg(F.round(F.sum(F.col("q") * F.col("weight")), 9).alias("sim"))
-    best = sims.withColumn("k", F.row_number().over(BY_DOC.orderBy(F.desc("sim"), "other"))).where(F.col("k") <= k)
+    best = sims.withColumn("k", F.row_number().over(by_doc().orderBy(F.desc("sim"), "other"))).where(F.col("k") <= k)
     return best.join(corpus.docs.select(F.col("doc_id").alias("other"), "class"), "other").groupBy("doc_id", "class").agg(F.sum("sim").alias("score"))
 
 

@@ -84,4 +84,4 @@ def class_word_counts(corpus: Corpus, word: str) -> DataFrame:
     cell = corpus.class_tf.where(F.col("word") == word).select("class", "n")
     rows = corpus.class_stats.join(cell, "class", "left")
     n = F.coalesce("n", F.lit(0))
-    return rows.select("class", n.alias("n"), "word_count", (n / F.col("word_count")).alias("share"))
+    return rows.select("class", n.alias("n"), "word_count", (n / F.nullif(F.col("word_count"), F.lit(0))).alias("share"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.lineage import cut
-from quern.operators.classify import BY_DOC, naive_bayes, softmax
+from quern.operators.classify import by_doc, naive_bayes, softmax
 from quern.operators.corpus import Corpus, soft_merge, soft_priors
 
 
@@ -45,14 +45,14 @@ def em(corpus: Corpus, rounds: int = 7, unlabelled: str = "test", weight: float
     open_ = corpus.docs.where(F.col("tag") == unlabelled).select("doc_id")
     tf = corpus.tf.join(corpus.docs.where(F.col("tag").isin("train", unlabelled)).select("doc_id"), "doc_id", "left_semi")
     if start == "even":
-        guess = open_.crossJoin(F.broadcast(known.select("class").distinct())).withColumn("score", 1 / F.count("*").over(BY_DOC))
+        guess = open_.crossJoin(F.broadcast(known.select("class").distinct())).withColumn("score", 1 / F.count("*").over(by_doc()))
     else:
         guess = soft_scores(tf, open_, *soft_model(tf, known))
     temper = anneal
     for _ in range(rounds):
         p = F.col("score") * weight
         if hard:
-            p = (F.row_number().over(BY_DOC.orderBy(F.desc("score"), "class")) == 1).cast("double")
+            p = (F.row_number().over(by_doc().orderBy(F.desc("score"), "class")) == 1).cast("double")
         probs = known.unionByName(cut(guess).select("doc_id", "class", p.alias("p")))
         guess = soft_scores(tf, open_, *soft_model(tf, probs), temper=temper)
         temper = max(1.0, temper * 0.9)
@@ -65,7 +65,7 @@ def perplexity(tf: DataFrame, docs: DataFrame, cells: DataFrame, classes: DataFr
     total = rows.groupBy("doc_id").agg(F.sum("n").alias("total"))
     delta = rows.join(cells.select("class", "word", F.log1p("n").alias("gain")), "word").groupBy("doc_id", "class").agg(F.sum(F.col("n") * F.col("gain")).alias("delta"))
     logs = total.crossJoin(F.broadcast(classes)).join(delta, ["doc_id", "class"], "left").select("doc_id", "total", (F.log("prior") - F.col("total") * F.log(F.col("size") + F.col("v")) + F.coalesce("delta", F.lit(0.0))).alias("l"))
-    top = logs.withColumn("m", F.max("l").over(BY_DOC)).groupBy("doc_id", "total", "m").agg(F.sum(F.exp(F.col("l") - F.col("m"))).alias("s"))
+    top = logs.withColumn("m", F.max("l").over(by_doc())).groupBy("doc_id", "total", "m").agg(F.sum(F.exp(F.col("l") - F.col("m"))).alias("s"))
     return top.agg(F.exp(-F.sum(F.col("m") + F.log("s")) / F.sum("total")).alias("perplexity"))
 
 
@@ -73,7 +73,7 @@ def maxent(corpus: Corpus, rounds: int = 10, variance: float | None = None) -> D
     """class, word, weight by iterative scaling where every document's counts sum to 1: the step of a feature is ln(K / E).
 
     With a Gaussian prior the step is shrunk by one Newton step of its penalised equation."""
-    rows = corpus.train.withColumn("x", F.col("n") / F.sum("n").over(BY_DOC)).select("doc_id", F.col("class").alias("own"), "word", "x")
+    rows = corpus.train.withColumn("x", F.col("n") / F.sum("n").over(by_doc())).select("doc_id", F.col("class").alias("own"), "word", "x")
     rows = cut(rows)
     target = rows.groupBy(F.col("own").alias("class"), "word").agg(F.sum("x").alias("k"))
     weights = cut(target.withColumn("weight", F.lit(0.0)))
@@ -96,7 +96,7 @@ def maxent_scores(rows: DataFrame, docs: DataFrame, names: DataFrame, weights: D
 
 
 def maxent_classify(corpus: Corpus, weights: DataFrame, tag: str = "test") -> DataFrame:
-    rows = corpus.tagged(tag).withColumn("x", F.col("n") / F.sum("n").over(BY_DOC))
+    rows = corpus.tagged(tag).withColumn("x", F.col("n") / F.sum("n").over(by_doc()))
     return maxent_scores(rows, corpus.docs.where(F.col("tag") == tag), F.broadcast(corpus.class_stats.select("class")), weights)
 
 
@@ -144,7 +144,7 @@ def density(corpus: Corpus, docs: DataFrame, beta: float = 5.0, alpha: float = 0
     mixed half and half with P(w).
 
     The mean over all documents of P(w|d) is one row a word, so no pair of documents is made."""
-    share = corpus.tf.withColumn("p", F.col("n") / F.sum("n").over(BY_DOC))
+    share = corpus.tf.withColumn("p", F.col("n") / F.sum("n").over(by_doc()))
     n_docs = corpus.docs.agg(F.count("*").alias("d"))
     words = share.groupBy("word").agg(F.sum("p").alias("m"), F.sum("n").alias("cf"))
     words = words.withColumn("pw", F.col("cf") / F.sum("cf").over(Window.partitionBy())).crossJoin(F.broadcast(n_docs)).withColumn("m", F.col("m") / F.col("d")).select("word", "m", "pw")

@@ -123,7 +123,7 @@ def is_text(text: Column) -> Column:
     """Whether over 95 percent (whole percent) of the first 4096 characters are printable ASCII or white space."""
     head = F.substring(text, 1, 4096)
     good = F.length(F.regexp_replace(head, "[^\\x09-\\x0D\\x20-\\x7E]", ""))
-    return F.coalesce(F.floor(good * 100 / F.length(head)) > 95, F.lit(False))
+    return F.coalesce(F.floor(good * 100 / F.nullif(F.length(head), F.lit(0))) > 95, F.lit(False))
 
 
 def looks_uuencoded(lines: DataFrame, key: str = "doc_id", line: str = "line") -> DataFrame:
