@@ -193,11 +193,16 @@ class ToxicModel:
         self.screen[(self.keys >> np.uint64(24)).astype(np.int64)] = True
         return self
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("restorer", "screen")}
+
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """For every text: the largest weight of its features, and the logarithm of 1 + its distinct hits."""
         out = np.zeros((len(texts), 2))
         if not len(self.keys):
             return out
+        if not hasattr(self, "restorer"):
+            self.prepared()
         keys, owners = features(texts, self.restorer)
         hit = self.screen[(keys >> np.uint64(24)).astype(np.int64)]
         keys, owners = keys[hit], owners[hit]
@@ -270,23 +275,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class: i
     return model
 
 
-def _scorer(model: ToxicModel):
-    def score(texts: pa.Array) -> np.ndarray:
-        if not hasattr(model, "restorer"):
-            model.prepared()
-        return model.score(texts)
-
-    return score
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class: int = 3000) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text)."""
-    score = _scorer(fit_toxicity(docs, labels, fold, per_class))
+    model = fit_toxicity(docs, labels, fold, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                p = score(part["text"])
+                p = model.score(part["text"])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % fold == 0, F.lit(False)).alias("held_out")
@@ -295,11 +291,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class
 
 def clean_documents(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class: int = 3000) -> DataFrame:
     """docs without the rows predicted toxic; all columns stay."""
-    score = _scorer(fit_toxicity(docs, labels, fold, per_class))
+    model = fit_toxicity(docs, labels, fold, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                yield part.filter(pa.array(score(part["text"]) < 0.5))
+                yield part.filter(pa.array(model.score(part["text"]) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
