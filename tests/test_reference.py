@@ -39,15 +39,15 @@ def words(spark, text, **how):
 
 
 def test_lexer(spark):
-    assert words(spark, "http://www.cs.cmu.edu:8080 Don't a I x2y café") == ["http", "www", "cs", "cmu", "edu", "don", "caf"]
+    assert words(spark, "http://www.ab.example.org:8080 Don't a I x2y café") == ["http", "www", "ab", "example", "org", "don", "caf"]
     assert words(spark, "") == []
     assert words(spark, "K" + "K" + "elvin") == ["elvin"]
 
 
 def test_html_and_header(spark):
-    df = spark.createDataFrame([("<FONT SIZE=+2>R</FONT>ainbow &amp; sky",), ("a<b>bold</b> x &eacute;t&eacute; fin",)], "h string")
+    df = spark.createDataFrame([("<FONT SIZE=+2>S</FONT>unlight &amp; sky",), ("a<b>bold</b> x &eacute;t&eacute; fin",)], "h string")
     got = [[w for w in r.w] for r in df.select(T.words_of(T.strip_html(F.col("h"))).alias("w")).collect()]
-    assert got == [["ainbow", "sky"], ["bold", "fin"]]
+    assert got == [["unlight", "sky"], ["bold", "fin"]]
     assert spark.range(1).select(T.skip_header(F.lit("A: b\r\nC: d\r\n\r\nbody\n\nmore")).alias("x")).first().x == "body\n\nmore"
 
 
