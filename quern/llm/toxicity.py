@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +39,20 @@ _SMALL = "abcdefghijklmnopqrstuvwxyz"
 _CODE = {c: k + 1 for k, c in enumerate(_SMALL)}
 _ALPHA = np.zeros(256, bool)
 _ALPHA[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_SIGN = np.zeros(256, bool)
-_SIGN[[*b"0123456789@$!|+("]] = True
+STRIPPED = ".,;:?\"'()[]{}#%&*<>=~`^"  # at the limits of a word
+_BYTES = {c: c.encode() for c in [*LOOKS_LIKE, *JOINTS] if c != " "}
+_ODD = np.zeros(256, bool)  # signs and joints of one byte; the longer ones are in _BYTES
+_ODD[[b[0] for b in _BYTES.values() if len(b) == 1]] = True
+_KEPT = np.ones(256, bool)
+_KEPT[[*STRIPPED.encode()]] = False
+_JOINT = np.zeros(256, bool)  # between letters spaced out, see SPACED
+_JOINT[[*b" .-_*~"]] = True
+_ITEM = np.zeros(256, bool)
+_ITEM[[*b"@$!|+(", *range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 SPACED = re.compile(r"(?<![^\s])[^\W\d_](?:[ .\-_*~][^\W_]|[ .\-_*~][@$!|+(]){2,}(?![^\s.,;:!?])")
 WORD = re.compile(r"[^\s]+")
 _DIGITS = re.compile(r"[0-9]")
+_DRAWN = re.compile(r"(.)\1{3,}", re.IGNORECASE | re.DOTALL)
 
 
 def _plain(c: str) -> str:
@@ -93,9 +103,9 @@ def restore(word: str, logs: np.ndarray) -> str:
         if not c.isalpha():
             options.append(("", DROP if c in JOINTS else 3 * SWAP))
         places.append(options)
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # the text as a chain of (letters, chain before)
     for options in places:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, text) in best.items():
             for letters, cost in options:
                 x, y, s = a, b, score + cost
@@ -105,17 +115,30 @@ def restore(word: str, logs: np.ndarray) -> str:
                         s += logs[x, y, code]
                         x, y = y, code
                 if (x, y) not in new or new[x, y][0] < s:
-                    new[x, y] = (s, text + letters)
+                    new[x, y] = (s, (letters, text))
         best = new
-    return max((s + logs[a, b, 0], t) for (a, b), (s, t) in best.items())[1]
+    return max((s + logs[a, b, 0], _joined(t)) for (a, b), (s, t) in best.items())[1]
+
+
+def _joined(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        letters, chain = chain
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def disguised(text: str) -> list[str]:
     """Parts of a text that may hide a word: letters with signs among them, letters drawn out, letters spaced out."""
-    found = [m[0] for m in SPACED.finditer(text)]
+    return [m[0] for m in SPACED.finditer(text)] + disguised_words(text)
+
+
+def disguised_words(text: str) -> list[str]:
+    """The words of disguised(), those spaced out left out. Runs are cut to three, which restore() reads alike; there is no bound on length."""
+    found = []
     for m in WORD.finditer(text):
-        w = m[0].strip(".,;:?\"'()[]{}#%&*<>=~`^")
-        if not 3 <= len(w) <= 32 or "=" in w or ":" in w or "@" in w and "." in w:
+        w = _DRAWN.sub(lambda x: x[0][:3], m[0].strip(STRIPPED))
+        if len(w) < 3 or "=" in w or ":" in w or "@" in w and "." in w:
             continue
         core = w.rstrip("!")
         letters = sum(map(str.isalpha, core))
@@ -133,22 +156,75 @@ class Restorer:
         self.logs = logs
         self.known = lru_cache(200_000)(lambda w: restore(w, logs))
 
-    def words(self, text: str) -> list[str]:
-        return [r for w in disguised(text) if (r := self.known(w))]
+    def words(self, parts: list[str]) -> list[str]:
+        return [r for w in parts if (r := self.known(w) if len(w) <= 64 else restore(w, self.logs))]
+
 
+def suspects(texts: pa.Array) -> dict[int, list[str]]:
+    """disguised() of the texts that have such parts, by their numbers.
 
-def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Numbers of the texts that may hold a disguised word."""
+    The bytes are screened by the classes that disguised() uses, and only words and texts that may hold something are decoded:
+    words with a sign or joint within their stripped limits, words with a byte sequence three times in a row, texts with
+    single characters between joints.
+    """
+    data, offsets = vec.utf8(texts)
+    if len(data) and data.max() > 127:
+        data, offsets = vec.utf8(pc.utf8_lower(texts))  # for runs of which some are capitals
+    out: dict[int, list[str]] = {}
     if len(data) < 3:
-        return np.zeros(0, np.int64)
+        return out
+    raw = data.tobytes()
     low = vec.LOWER[data]
-    alpha, sign, word = _ALPHA[data], _SIGN[data], vec.WORD[data]
-    mark = np.zeros(len(data), bool)
-    mark[1:-1] = sign[1:-1] & (alpha[:-2] & word[2:] | alpha[2:])  # a sign beside letters
-    mark[2:] |= alpha[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])  # drawn out
-    if len(data) > 4:
-        mark[4:] |= alpha[4:] & ~alpha[3:-1] & alpha[2:-2] & ~alpha[1:-3] & alpha[:-4]  # spaced out
-    return np.unique(np.searchsorted(offsets, np.flatnonzero(mark), side="right") - 1)
+    wide = bool(data.max() > 127)
+
+    # letters spaced out; the first byte of a character stands for it
+    lead = np.flatnonzero(data & 0xC0 != 0x80) if wide else None
+    first = data[lead] if wide else data
+    if len(first) > 4:
+        item, joint = _ITEM[first], _JOINT[first]
+        mark = _ALPHA[first[:-4]] & joint[1:-3] & item[2:-2] & joint[3:-1] & item[4:]
+        mark[1:] &= vec.SPACE[first[:-5]] | (first[:-5] < 32) | (first[:-5] > 127) | np.isin(np.arange(1, len(mark)) if lead is None else lead[1 : len(mark)], offsets)
+        at = np.flatnonzero(mark)
+        for k in np.unique(np.searchsorted(offsets, at if lead is None else lead[at], side="right") - 1).tolist():
+            if found := [m[0] for m in SPACED.finditer(raw[offsets[k] : offsets[k + 1]].decode("utf-8", "replace"))]:
+                out[k] = found
+
+    # words with signs or joints, and words drawn out
+    odd = _ODD[data]
+    if wide:
+        for sign in (b for b in _BYTES.values() if len(b) > 1):
+            hit = data[: len(data) - len(sign) + 1] == sign[0]
+            for k in range(1, len(sign)):
+                hit &= data[k : len(data) - len(sign) + 1 + k] == sign[k]
+            odd[np.flatnonzero(hit)] = True
+    starts, ends = vec.pieces(vec.WORD[data], vec.limits(len(data), offsets))
+    of = lambda places: np.unique(np.searchsorted(starts, places, side="right") - 1)
+    words = of(np.flatnonzero(odd))
+    kept = np.flatnonzero(_KEPT[data] & vec.WORD[data])
+    a, z = np.searchsorted(kept, starts[words]), np.searchsorted(kept, ends[words])
+    words, a, z = words[a < z], kept[a[a < z]], kept[z[a < z] - 1] + 1
+    plain = np.flatnonzero(data != 33)
+    k = np.searchsorted(plain, z) - 1
+    z = np.where(k >= 0, np.minimum(z, plain[k] + 1), a) if len(plain) else a
+    total = np.concatenate([[0], np.cumsum(odd)])
+    letters = np.concatenate([[0], np.cumsum(_ALPHA[data])])
+    z = np.maximum(z, a)
+    chosen = [words[(total[z] > total[a]) & (letters[z] - letters[a] >= 2)]]
+    for n in (1, 2, 3, 4) if wide else (1,):  # bytes of a character
+        if len(data) >= 3 * n:
+            same = low[n:] == low[:-n]
+            run = same[n:] & same[:-n] & _ALPHA[data[: -2 * n]]
+            for k in range(1, n):
+                run[:-k] &= same[n + k :] & same[k : -n]
+                run[-k:] = False
+            chosen.append(of(np.flatnonzero(run)))
+    chosen = np.unique(np.concatenate(chosen))
+    chosen = chosen[chosen >= 0]
+    owner = np.searchsorted(offsets, starts[chosen], side="right") - 1
+    for k, a, z in zip(owner.tolist(), starts[chosen].tolist(), ends[chosen].tolist()):
+        if found := disguised_words(raw[a:z].decode("utf-8", "replace")):
+            out.setdefault(k, []).extend(found)
+    return out
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +247,9 @@ def features(texts: pa.Array, restorer: Restorer | None) -> tuple[np.ndarray, np
     data, offsets = vec.utf8(texts)
     keys, owners = _runs(data, offsets)
     if restorer is not None:
-        which = suspects(data, offsets)
-        raw = data.tobytes()
-        extra = [" ".join(restorer.words(raw[offsets[k] : offsets[k + 1]].decode("utf-8", "replace"))) for k in which.tolist()]
+        parts = suspects(texts)
+        which = np.array(list(parts), np.int64)
+        extra = [" ".join(restorer.words(x)) for x in parts.values()]
         if any(extra):
             more, owner = _runs(*vec.utf8(pa.array(extra)))
             keys, owners = np.concatenate([keys, more]), np.concatenate([owners, which[owner]])
@@ -240,10 +316,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class: i
                 raw = data.tobytes().decode("utf-8", "replace").lower()
                 counts = trigram_counts(re.findall(r"[^\W\d_]{2,}", raw))
                 blobs_counts = [counts.astype("<i4").tobytes()] + [None] * (part.num_rows - 1)
-                text = [t if set_ else None for t, set_ in zip(part["text"].to_pylist(), np.isin(np.arange(part.num_rows), suspects(data, offsets)))]
-                yield pa.RecordBatch.from_arrays([part["y"], pa.array(blobs, pa.binary()), pa.array(blobs_counts, pa.binary()), pa.array(text, pa.string())], names=["y", "f", "c", "t"])
+                parts = suspects(part["text"])
+                parts = [parts.get(k) for k in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part["y"], pa.array(blobs, pa.binary()), pa.array(blobs_counts, pa.binary()), pa.array(parts, pa.list_(pa.string()))], names=["y", "f", "c", "t"])
 
-    rows = sample.mapInArrow(read, "y int, f binary, c binary, t string").collect()  # 2 * per_class texts
+    rows = sample.mapInArrow(read, "y int, f binary, c binary, t array<string>").collect()  # 2 * per_class texts
     y = np.array([r.y for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
         return ToxicModel()

@@ -264,6 +264,22 @@ def test_toxicity(spark, odd, empty):
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
 
 
+def test_toxicity_screen():
+    from quern.llm import toxicity as X
+
+    rng = random.Random(8)
+    pieces = [*"abzZ019@$!|+(.-_*~'’·,/€£éÉßп日 :=#\"\t\n", " ", " ", "aaa", "ÉÉé", "Ппп", "日日日", "\xa0"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 25))) for _ in range(20_000)]
+    texts += ["an id-iot here", "mor.on", "sc_um", "t£ash", "€nd", "i d 1 0 t", "é t é", "id" + "i" * 50 + "ot", "i-" * 30 + "t", "", None]
+    got = X.suspects(pa.array(texts, pa.string()))
+    for k, t in enumerate(texts):
+        assert sorted(w.lower() for w in got.get(k, [])) == sorted(w.lower() for w in X.disguised(t or "")), t
+    assert all(got.get(len(texts) - k) for k in range(3, 12))
+    logs = X.trigram_logs(X.trigram_counts(iter(["idiot", "moron", "scum"] * 50)))
+    found = [set(X.Restorer(logs).words(X.suspects(pa.array([t])).get(0, []))) for t in ("id-iot", "mor.on", "sc_um", "idi" + "o" * 60 + "t")]
+    assert found == [{"idiot"}, {"moron"}, {"scum"}, {"idiot"}]
+
+
 def test_quality(spark, odd, empty):
     from quern.llm import quality as Q
 
