@@ -6,7 +6,7 @@ header is a JSON object with alg), der (base64 or hex of one DER SEQUENCE whose
 nested lengths fill it exactly and which holds an INTEGER, BIT STRING or OCTET
 STRING), ssh (length-prefixed SSH public or private key).
 
-Bytes are screened for long runs in numpy; only texts with a candidate are searched
+Bytes are screened for long runs in numpy, and for the beginning of a JWT; only texts with a candidate are searched
 as strings. Nulls are empty; a row gives a row; spans count code points.
 """
 
@@ -18,6 +18,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]{1,76})*={0,2}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+_DASHES = re.compile("-{5,}")
+_LINE = re.compile(r"[^\r\n]+")
+_KEY_STARTS = ("M", "AAAA", "b3BlbnNzaC1rZXktdjEA")
 ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[[*b"0123456789abcdef"]] = True
@@ -126,6 +130,46 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
+def _base64_keys(found: str, at: int) -> Iterator[tuple[int, str, int]]:
+    """Keys in what BASE64 found at `at`: each begins and ends at limits of lines or of -----, and is the longest that parses."""
+    edges = [0, *(x for m in _DASHES.finditer(found) for x in m.span()), len(found)]
+    for begin, end in zip(edges[::2], edges[1::2]):
+        lines = [m.span() for m in _LINE.finditer(found, begin, end)]
+        k = 0
+        while k < len(lines):
+            stop = None
+            if found.startswith(_KEY_STARTS, lines[k][0]):
+                stop = _key_lines(found, lines[k:])
+            if stop is None:
+                k += 1
+                continue
+            n, kind = stop
+            yield at + lines[k][0], kind, at + lines[k + n - 1][1]
+            k += n
+
+
+def _key_lines(found: str, lines: list[tuple[int, int]]) -> tuple[int, str] | None:
+    """How many of the lines are one key, as many as can be, and its kind."""
+    sizes = list(accumulate(len(found[a:b].rstrip("=")) for a, b in lines))
+    if found[lines[0][0]] == "M":  # a DER SEQUENCE: its header says where it ends
+        head = unbase64(found[lines[0][0] : lines[0][0] + 8]) or b""
+        if len(head) < 6 or head[1] == 128 or head[1] > 132:
+            return None
+        n = head[1] & 127 if head[1] > 127 else 0
+        size = 2 + n + (int.from_bytes(head[2 : 2 + n]) if n else head[1])
+        chars = -(-size * 4 // 3)
+        if chars not in sizes:
+            return None
+        n = sizes.index(chars) + 1
+        return (n, "der") if is_der_key(unbase64("".join(found[a:b] for a, b in lines[:n])) or b"") else None
+    text = "".join(found[a:b].rstrip("=") for a, b in lines)
+    data = unbase64(text[: len(text) - (len(text) % 4 == 1)]) or b""
+    for n in range(len(sizes), 0, -1):
+        if sizes[n - 1] % 4 != 1 and is_ssh_key(data[: sizes[n - 1] * 3 // 4]):
+            return n, "ssh"
+    return None
+
+
 def find(text: str, assign: bool = True, access: bool = True, runs: bool = True) -> list[tuple[int, str, int]]:
     """All spans as (start, kind, end), by start and then by kind as listed. The flags leave out searches known to be empty."""
     out: set[tuple[int, int, int]] = set()
@@ -139,11 +183,7 @@ def find(text: str, assign: bool = True, access: bool = True, runs: bool = True)
             if is_jwt(m[1], m[2]):
                 out.add((m.start(), 3, m.end()))
         for m in BASE64.finditer(text):
-            tries = [(m.start(), m.end())] + ([(m.start(), m.start() + len(m[0].split("\n")[0]))] if "\n" in m[0] else [])
-            for a, b in tries:
-                if kind := _key_kind(unbase64(text[a:b])):
-                    out.add((a, KINDS.index(kind), b))
-                    break
+            out |= {(a, KINDS.index(kind), b) for a, kind, b in _base64_keys(m[0], m.start())}
         for m in ANY_HEX.finditer(text):
             if kind := _key_kind(bytes.fromhex(m[0])):
                 out.add((m.start(), KINDS.index(kind), m.end()))
@@ -169,7 +209,8 @@ def scan_texts(texts: pa.Array) -> list[list[tuple[int, str, int]]]:
             low = raw[a:b].lower()
             assign = any(w in low for w in _WORDS)
         access = raw.find(b"AKIA", a, b) >= 0
-        out.append(find(raw[a:b].decode("utf-8", "replace"), assign, access, bool(has_run[k])) if assign or access or has_run[k] else [])
+        runs = bool(has_run[k]) or raw.find(b"eyJ", a, b) >= 0  # the parts of a JWT may be short
+        out.append(find(raw[a:b].decode("utf-8", "replace"), assign, access, runs) if assign or access or runs else [])
     return out
 
 

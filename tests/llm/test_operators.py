@@ -239,6 +239,32 @@ def test_secrets(odd, empty):
     assert clean.columns == odd.columns and clean.where("doc_id = 5").first().text == ODD[5]
 
 
+def test_secret_extents():
+    from quern.llm import secrets as S
+
+    def tlv(tag, body):
+        return bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else bytes([0x81, len(body)]) if len(body) < 256 else bytes([0x82]) + len(body).to_bytes(2)) + body
+
+    part = lambda o: base64.urlsafe_b64encode(json.dumps(o, separators=(",", ":")).encode()).decode().rstrip("=")
+    for size in range(20, 240):  # every length mod 3, on one line and on several
+        key = tlv(0x30, tlv(2, b"\0") + tlv(2, bytes(k % 251 for k in range(size))) + tlv(4, b"x" * 60))
+        ssh = b"".join(len(x).to_bytes(4) + x for x in (b"ssh-rsa", b"\1\0\1", b"k" * size))
+        own = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4) + x for x in (b"none", b"none", b"")) + (1).to_bytes(4) + b"".join(len(x).to_bytes(4) + x for x in (b"p" * size, b"q" * 90))
+        for data, kind in ((key, "der"), (ssh, "ssh"), (own, "ssh")):
+            for feed, width in (("\n", 64), ("\r\n", 76), ("\n", 10_000)):
+                b64 = base64.b64encode(data).decode()
+                for b64 in (b64, b64.rstrip("=")):
+                    body = feed.join(b64[k : k + width] for k in range(0, len(b64), width))
+                    for before, after in (("-----BEGIN PRIVATE KEY-----" + feed, feed + "-----END PRIVATE KEY-----"), ("-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"), ("-" * 40 + feed, feed + "-" * 40)):
+                        assert S.find(before + body + after) == [(len(before), kind, len(before) + len(body))]
+                    if kind == "der":
+                        assert S.find(f"see {body}{feed}words follow{feed}here") == [(4, kind, 4 + len(body))]
+        two = base64.b64encode(key).decode().rstrip("=")
+        assert [k for _, k, _ in S.find(f"{two}\n{two}")] == ["der", "der"]
+    short = f"{part({'alg': 'no'})}.{part({'a': 1})}."
+    assert max(map(len, short.split("."))) < 24 and S.scan_texts(pa.array(["a " + short, "eyJ"])) == [[(2, "jwt", 2 + len(short))], []]
+
+
 def labelled(spark, texts, name, values):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(k, v) for k, v in enumerate(values)], f"doc_id long, {name} int")
 
