@@ -2,7 +2,7 @@
 
 Restoring: a disguised word (digits or signs for letters, letters drawn out or
 spaced out) is a lattice of characters; Viterbi decoding under a character trigram
-model, whose counts come from the sampled texts, picks the likeliest plain word.
+model, whose counts come from every document, picks the likeliest plain word.
 
 Scoring: features are the words of a text and their beginnings of 4 to 6 letters.
 Those tied to the label by a likelihood-ratio test on the bounded labelled sample
@@ -73,6 +73,69 @@ def trigram_counts(words: Iterator[str]) -> np.ndarray:
     return out
 
 
+def _lowered(texts: pa.Array) -> pa.Array:
+    """Texts in small letters; bytes that aren't UTF-8 are replaced."""
+    try:
+        return pc.utf8_lower(texts)
+    except pa.ArrowInvalid:
+        data, offsets = vec.utf8(texts)
+        raw = data.tobytes()
+        return pa.array([raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.large_string())
+
+
+@lru_cache(1)
+def _letter_codes() -> np.ndarray:
+    """For every code point: 0 for what parts words, 1 to 26 for a plain letter, 27 for another letter."""
+    out = np.zeros(0x110000, np.uint8)
+    for k in range(0x110000):
+        c = chr(k)
+        if c.isalnum() and not c.isdecimal():
+            out[k] = _CODE.get(_plain(c.lower()), 27)
+    return out
+
+
+def text_trigrams(texts: pa.Array) -> np.ndarray:
+    """trigram_counts() over the words (two letters or more) of whole texts, as 27 ** 3 numbers."""
+    data, offsets = vec.utf8(texts)
+    if not len(data):
+        return np.zeros(27**3, np.int64)
+    if data.max() > 127:
+        data, offsets = vec.utf8(_lowered(texts))
+        offsets = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])[offsets]
+        data = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+    code = np.insert(_letter_codes()[data], offsets, 0)
+    letter = code > 0
+    lone = np.flatnonzero(letter[1:-1] & ~letter[:-2] & ~letter[2:]) + 1
+    code[lone] = 0
+    n_words = int(np.count_nonzero((code[1:] > 0) & (code[:-1] == 0)))
+    code = code[code != 27].astype(np.int32)
+    b, c = code[1:-1], code[2:]
+    a = np.where(b > 0, code[:-2], 0)
+    at = ((a * 27 + b) * 27 + c)[(b > 0) | (c > 0)]
+    out = np.bincount(at, minlength=27**3)
+    if code[1]:  # the limit before the first text has no other before it
+        out[code[1]] += 1
+    out[0] += n_words - int(np.count_nonzero((b > 0) & (c == 0)))  # words of other letters only
+    return out
+
+
+def corpus_trigrams(docs: DataFrame) -> np.ndarray:
+    """Letter trigrams of all documents: a sum a task, then one table of at most 27 ** 3 rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(27**3, np.int64)
+        for batch in batches:
+            for part in chunks(batch):
+                total += text_trigrams(part["text"])
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total[cell])], names=["cell", "n"])
+
+    rows = id_text(docs).select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(27**3, np.int64)
+    out[[r.cell for r in rows]] = [r.n for r in rows]
+    return out.reshape(27, 27, 27)
+
+
 def trigram_logs(counts: np.ndarray) -> np.ndarray:
     """Smoothed log P(letter | two before), backing off to the bigram and to the letter."""
     c1 = counts.sum((0, 1)) + 1.0
@@ -169,7 +232,7 @@ def suspects(texts: pa.Array) -> dict[int, list[str]]:
     """
     data, offsets = vec.utf8(texts)
     if len(data) and data.max() > 127:
-        data, offsets = vec.utf8(pc.utf8_lower(texts))  # for runs of which some are capitals
+        data, offsets = vec.utf8(_lowered(texts))  # for runs of which some are capitals
     out: dict[int, list[str]] = {}
     if len(data) < 3:
         return out
@@ -298,7 +361,10 @@ class ToxicModel:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class: int = 3000, least_g: float = 14.0) -> ToxicModel:
-    """Fits on at most per_class labelled rows of each class, none of them in the held-out fold (crc32(doc_id) mod fold = 0)."""
+    """Fits on at most per_class labelled rows of each class, none of them in the held-out fold (crc32(doc_id) mod fold = 0).
+
+    The character model has no labels and counts every document.
+    """
     sample = labelled_sample(docs, labels, "toxic", fold, per_class)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,19 +378,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class: i
                 keys, owners = keys[new], owners[new]
                 at = np.searchsorted(owners, np.arange(part.num_rows + 1))
                 blobs = [keys[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:])]
-                # words for the character model: every word of the sampled text
-                raw = data.tobytes().decode("utf-8", "replace").lower()
-                counts = trigram_counts(re.findall(r"[^\W\d_]{2,}", raw))
-                blobs_counts = [counts.astype("<i4").tobytes()] + [None] * (part.num_rows - 1)
                 parts = suspects(part["text"])
                 parts = [parts.get(k) for k in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part["y"], pa.array(blobs, pa.binary()), pa.array(blobs_counts, pa.binary()), pa.array(parts, pa.list_(pa.string()))], names=["y", "f", "c", "t"])
+                yield pa.RecordBatch.from_arrays([part["y"], pa.array(blobs, pa.binary()), pa.array(parts, pa.list_(pa.string()))], names=["y", "f", "t"])
 
-    rows = sample.mapInArrow(read, "y int, f binary, c binary, t array<string>").collect()  # 2 * per_class texts
+    rows = sample.mapInArrow(read, "y int, f binary, t array<string>").collect()  # 2 * per_class texts
     y = np.array([r.y for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
         return ToxicModel()
-    logs = trigram_logs(sum((np.frombuffer(r.c, "<i4").reshape(27, 27, 27).astype(np.int64) for r in rows if r.c is not None), np.zeros((27, 27, 27), np.int64)))
+    logs = trigram_logs(corpus_trigrams(docs))
     restorer = Restorer(logs)
     lists = []
     for r in rows:

@@ -306,6 +306,22 @@ def test_toxicity_screen():
     assert found == [{"idiot"}, {"moron"}, {"scum"}, {"idiot"}]
 
 
+def test_toxicity_characters(spark, odd, empty):
+    from quern.llm import toxicity as X
+
+    want = lambda texts: X.trigram_counts(w for t in texts for w in re.findall(r"[^\W\d_]{2,}", (t or "").lower()))
+    rng = random.Random(9)
+    texts = ["".join(rng.choices([*"abcXYZéÉßñпП日1_- .", "the", " "], k=rng.randint(0, 20))) for _ in range(3000)]
+    for some in (texts, texts[:1], ODD, ["ab", "cd"], ["a", "b"], ["日本", "q日q"], [""], [], ["x" * 5, None, "yz"]):
+        assert (X.text_trigrams(pa.array(some, pa.string())).reshape(27, 27, 27) == want(some)).all()
+    assert (X.corpus_trigrams(odd) == want(r.text for r in odd.collect())).all() and not X.corpus_trigrams(empty).any()
+    bad = pa.array([b"ab\xff cd-ef", b"\xc3"], pa.binary()).view(pa.string())
+    assert X.suspects(bad) == {0: ["cd-ef"]} and X.text_trigrams(bad).sum() == 9
+    docs, labels = labelled(spark, texts, "toxic", [k % 2 for k in range(len(texts))])
+    got = X.fit_toxicity(docs, labels, per_class=20).logs
+    assert np.array_equal(got, X.trigram_logs(want(texts)))  # all texts, whatever the sample
+
+
 def test_quality(spark, odd, empty):
     from quern.llm import quality as Q
 
