@@ -1,16 +1,17 @@
 """Line dedup by a log-template tree.
 
-Every line is parsed down a tree of fixed depth: its number of tokens, then its
-leading tokens (`DEPTH`; tokens with digits are the wildcard). In its leaf, its
+Every line, and every sentence of a line of several, is parsed down a tree of fixed
+depth: its number of tokens, then its leading tokens (`DEPTH`; tokens with digits are
+the wildcard). In its leaf, its
 templates are the line with tokens of digits as variable fields, and, for lines of
 `LONG` tokens on, the line with one of `PARTS` equal parts of the rest variable
-too. A template that documents share recurs: its lines stay in the document of the
-lowest doc_id and are dropped from the others.
+too. A template that documents share recurs: its lines and sentences stay in the
+document of the lowest doc_id and are dropped from the others. A sentence ends with a
+word that ends in . ! or ? (and quotes or brackets after it) or with its line.
 
-A leaf's templates are keys, so the tree is a group-by: lines are pre-aggregated to
-(key, lowest and highest doc_id) before any shuffle, no leaf is held in one task,
-and the result doesn't depend on the order of lines. Dropped keys go back to the
-documents by a join on doc_id.
+A leaf's templates are keys, so the tree is a sort of (key, doc_id): a key's rows are
+streamed after their lowest doc_id, no leaf is held in memory, and the result doesn't depend on the order of lines. Dropped keys
+go back to the documents by a join on doc_id.
 
 Defined results: null text stays null; lines are split at \\n, and a blank line or
 one under `LEAST` tokens stays; a line that only repeats in its own document (also
@@ -21,26 +22,30 @@ document, the last. A text whose lines are all dropped is empty; every row stays
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import vec
-from quern.llm.common import chunks, written
+from quern.llm.common import chunks
 
 DEPTH, PARTS, LEAST, LONG = 3, 4, 4, 12
 LAST = 2**63 - 1
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_END = np.zeros(256, bool)
+_END[[*b".!?"]] = True
+_CLOSE = np.zeros(256, bool)
+_CLOSE[[*b"\"')]}"]] = True
 _WILD = np.uint64(0xD1B54A32D192ED03)
 _STEP = np.uint64(0x8CB92BA72F3D8DD7)
 
 
-def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All lines of all texts: starts, ends, the number of the first line of each text (n + 1), and the keys (lines x 5, 0: none)."""
-    n_bytes = len(data)
+def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Sentences]:
+    """All lines of all texts: starts, ends, the number of the first line of each text (n + 1), the keys (lines x 5, 0: none), and the sentences."""
     feed = np.flatnonzero(data == 10)
     starts = np.concatenate([offsets[:-1], feed + 1])
     owner = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, feed, side="right") - 1])
@@ -53,35 +58,58 @@ def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if len(ends):
         last = first[1:] - 1
         ends[last] = offsets[1:]
-    keys = np.zeros((len(starts), PARTS + 1), np.uint64)
     word, word_end, h, _ = vec.words(data, offsets, fold=True)
-    if not len(word):
-        return starts, ends, first, keys
-    begin = np.searchsorted(word, starts)
-    stop = np.searchsorted(word, ends)
-    n = stop - begin
-    total = np.zeros(n_bytes + 1, np.int32)
-    np.cumsum(_DIGIT[data], out=total[1:])
+    begin, stop = np.searchsorted(word, starts), np.searchsorted(word, ends)
+    total = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     digit = total[word_end] > total[word]
+    last = word_end - 1
+    for _ in range(3):
+        last = np.where((last > word) & _CLOSE[data[last]], last - 1, last)
+    line = np.repeat(np.arange(len(starts)), stop - begin)  # the line of each word; words are in order of lines
+    fresh = np.ones(len(word), bool)  # words that begin a sentence
+    if len(word):
+        fresh[1:] = _END[data[last[:-1]]] | (line[1:] != line[:-1])
+    at = np.flatnonzero(fresh)
+    of = line[at]
+    some = np.bincount(of, minlength=len(starts))[of] > 1 if len(of) else np.zeros(0, bool)
+    until = np.append(at[1:], len(word))
+    sentences = Sentences(of[some], np.where(np.concatenate([[True], of[1:] != of[:-1]])[: len(of)], starts[of], word[at])[some], unit_keys(h, digit, at[some], until[some]))
+    return starts, ends, first, unit_keys(h, digit, begin, stop), sentences
+
+
+class Sentences(NamedTuple):
+    """The sentences of lines with several: their lines, where they start (the first at its line's start), and their keys."""
+
+    lines: np.ndarray
+    starts: np.ndarray
+    keys: np.ndarray
+
+
+def unit_keys(h: np.ndarray, digit: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The keys (units x 5, 0: none) of the units of words [begin, stop), which are in order and don't overlap."""
+    keys = np.zeros((len(begin), PARTS + 1), np.uint64)
+    n = stop - begin
+    rows = np.flatnonzero(n >= LEAST)
+    if not len(rows):
+        return keys
     digits = np.concatenate([[0], np.cumsum(digit)])
     fixed = n - (digits[stop] - digits[begin])
     mask = (fixed >= 3) & (2 * fixed >= n)
-    rows = np.flatnonzero(n >= LEAST)
-    if not len(rows):
-        return starts, ends, first, keys
-    line = np.repeat(np.arange(len(n)), n)  # the line of each word; words are in order of lines
-    place = np.arange(len(word)) - begin[line]
-    token = np.where(digit & mask[line], _WILD, h)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(vec.mix(token + place.astype(np.uint64) * _STEP))])
-    b, m = begin[rows], n[rows]
-    whole = sums[stop[rows]] - sums[b] + m.astype(np.uint64) * _STEP
+    unit = np.repeat(np.arange(len(n)), n)
+    before = np.cumsum(n) - n
+    at = np.arange(len(unit)) - before[unit]
+    place = begin[unit] + at
+    token = np.where(digit[place] & mask[unit], _WILD, h[place])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(vec.mix(token + at.astype(np.uint64) * _STEP))])
+    b, m = before[rows], n[rows]
+    whole = sums[b + m] - sums[b] + m.astype(np.uint64) * _STEP
     keys[rows, 0] = vec.mix(whole) | np.uint64(1)
     long = m >= LONG
     for k in range(PARTS):
         a, z = DEPTH + (m - DEPTH) * k // PARTS, DEPTH + (m - DEPTH) * (k + 1) // PARTS
         part = sums[b + np.minimum(z, m)] - sums[b + np.minimum(a, m)]
         keys[rows, k + 1] = np.where(long, vec.mix(whole - part + np.uint64(((k + 1) * int(_WILD)) % 2**64)) | np.uint64(1), np.uint64(0))
-    return starts, ends, first, keys
+    return keys
 
 
 def dropped_keys(docs: DataFrame) -> DataFrame:
@@ -90,8 +118,9 @@ def dropped_keys(docs: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                _, _, first, keys = line_keys(*vec.utf8(part["text"]))
+                _, _, first, keys, sentences = line_keys(*vec.utf8(part["text"]))
                 owner = np.repeat(np.arange(part.num_rows), np.diff(first))
+                owner, keys = np.concatenate([owner, owner[sentences.lines]]), np.concatenate([keys, sentences.keys])
                 ids = part["id"].to_numpy()[owner]
                 flat = keys.reshape(-1)
                 ids = np.repeat(ids, PARTS + 1)[flat != 0]
@@ -99,15 +128,15 @@ def dropped_keys(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids)], names=["key", "id"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lines = written(texts.mapInArrow(read, "key long, id long"), "lines")
-    shared = lines.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
-    return lines.join(shared, "key").where("id > low").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    lines = texts.mapInArrow(read, "key long, id long")
+    up_to = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # streamed, whatever a key's rows
+    return lines.withColumn("low", F.first("id").over(up_to)).where("id > low").groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
 def drop_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """docs without the lines of recurring templates; all rows and columns stay (n_chars, where there is one, follows the text).
+    """docs without the lines and sentences of recurring templates; all rows and columns stay (n_chars, where there is one, follows the text).
 
-    counts: adds n_lines and n_dropped. Other columns keep their names whatever these are.
+    counts: adds n_lines and n_dropped (lines of which nothing stays). Other columns keep their names whatever these are.
     """
     names = docs.columns
     inner = docs.toDF(*[f"c{k}" for k in range(len(names))])
@@ -129,14 +158,27 @@ def drop_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
                 if len(rows):
                     some = column.take(pa.array(rows))
                     data, offsets = vec.utf8(some)
-                    starts, ends, first, keys = line_keys(data, offsets)
+                    starts, ends, first, keys, sentences = line_keys(data, offsets)
                     gone = [set(x) for x in part["keys"].take(pa.array(rows)).to_pylist()]
+                    inner_keys, inner_starts = sentences.keys.view(np.int64).tolist(), sentences.starts.tolist()
+                    of = np.searchsorted(sentences.lines, np.arange(len(starts) + 1)).tolist()
                     listed, raw, new = keys.view(np.int64).tolist(), data.tobytes(), column.to_pylist()
                     for j, row in enumerate(rows.tolist()):
                         lines = range(first[j], first[j + 1])
-                        kept = [k for k in lines if gone[j].isdisjoint(listed[k])]
+                        kept = []
+                        for k in lines:
+                            if not gone[j].isdisjoint(listed[k]):
+                                continue
+                            here = range(of[k], of[k + 1])
+                            stay = [gone[j].isdisjoint(inner_keys[x]) for x in here]
+                            if all(stay):
+                                kept.append(raw[starts[k] : ends[k]])
+                            elif any(stay):
+                                limits = [*inner_starts[here.start : here.stop], int(ends[k])]
+                                line = b"".join(raw[a:z] for a, z, s in zip(limits, limits[1:], stay) if s)
+                                kept.append(line if stay[-1] else line.rstrip(b" \t\r\x0b\x0c"))
                         n_dropped[row] = len(lines) - len(kept)
-                        new[row] = b"\n".join([raw[starts[k] : ends[k]] for k in kept]).decode("utf-8", "replace")
+                        new[row] = b"\n".join(kept).decode("utf-8", "replace")
                     part = part.set_column(part.schema.get_field_index(text), text, pa.array(new, column.type))
                 part = part.drop_columns(["keys"])
                 if counts:

@@ -444,6 +444,18 @@ def test_line_dedup(spark, odd, empty):
     assert drop_lines(empty).count() == 0
 
 
+def test_line_dedup_inside_lines(spark):
+    from quern.llm.templates import drop_lines
+
+    passage = "Ten small ships left the old harbour at dawn. Nobody on the quay saw them go! (Was it 5 or 6 of them?)"
+    texts = [f"First words here stand alone. {passage} The end of one.", f"Other text begins this line. {passage} And more of it follows.\nlast line", f"glued {passage}", passage.replace("5", "7").replace(" Nobody", "\nNobody"), "Yes. No. Yes. No."] + ["Yes. No."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in drop_lines(docs, counts=True).collect()}
+    assert got[0] == (texts[0], 1, 0) and got[1] == ("Other text begins this line. And more of it follows.\nlast line", 2, 0)
+    assert got[2] == ("glued Ten small ships left the old harbour at dawn.", 1, 0) and got[3] == ("", 2, 2)
+    assert got[4] == (texts[4], 1, 0) and got[5] == (texts[5], 1, 0)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
