@@ -83,20 +83,69 @@ def test_jaccard_join(spark):
 
 @pytest.mark.parametrize("seed", range(6))
 def test_signatures_lose_no_pair(seed):
-    """Every similar pair shares a signature, with elements taken for common or not."""
+    """Every similar pair shares a signature that isn't crowded, in the first round in which one of the two has slack left."""
     from quern.llm import partenum as E
 
     texts = near_copies(100 + seed, 40, 40)
     sets, at = E.sets_of(pa.array(texts), 3)
     frequent, count = np.unique(sets, return_counts=True)
-    for common in (frequent[:0], frequent[count >= 2], frequent):
-        sig, who, _ = E.signatures(sets, at, common, 70)
-        held = [set(sig[who == k].tolist()) for k in range(len(texts))]
-        for a, b in combinations(range(len(texts)), 2):
-            x, y = set(sets[at[a] : at[a + 1]].tolist()), set(sets[at[b] : at[b + 1]].tolist())
-            if x and y and 100 * len(x & y) >= 70 * len(x | y):
-                assert held[a] & held[b]
-                assert E.may_be_similar(E.sketch(sets[at[a] : at[a + 1]]), E.sketch(sets[at[b] : at[b + 1]]), len(x), len(y), 70)
+    for common in (frequent[:0], frequent[count >= 3], frequent):
+        for crowd in (1, 3, 1000):
+            rounds = []
+            for level in range(E.LAST + 1):
+                s = E.signatures(sets, at, common, 70, level)
+                sig, inverse, n = np.unique(s.sig, return_inverse=True, return_counts=True)
+                crowded = n[inverse] > crowd if level < E.LAST else np.zeros(len(s.sig), bool)
+                hot = np.bincount(s.who[crowded], minlength=len(s.of))
+                poor = set(s.of[hot >= s.slack].tolist())
+                held = {}
+                for k, x in zip(s.of[s.who[~crowded]].tolist(), s.sig[~crowded].tolist()):
+                    held.setdefault(k, set()).add(x)
+                rounds.append((held, poor))
+            assert not rounds[-1][1]
+            for a, b in combinations(range(len(texts)), 2):
+                x, y = set(sets[at[a] : at[a + 1]].tolist()), set(sets[at[b] : at[b + 1]].tolist())
+                if x and y and 100 * len(x & y) >= 70 * len(x | y):
+                    held = next(h for h, poor in rounds if a not in poor or b not in poor)
+                    assert held.get(a, set()) & held.get(b, set())
+                    assert E.may_be_similar(E.sketch(sets[at[a] : at[a + 1]]), E.sketch(sets[at[b] : at[b + 1]]), len(x), len(y), 70)
+
+
+def test_guards():
+    """Against all choices of parts to spoil."""
+    from quern.llm import partenum as E
+
+    rng = np.random.default_rng(4)
+    for _, n2, k2, least in E.SHAPES:
+        rare = rng.poisson(0.8, (300, n2))
+        subsets = list(combinations(range(n2), n2 - k2))
+        for row, got in zip(rare, E.guards(rare, k2, least).tolist()):
+            strong = [set(s) for s in subsets if row[list(s)].sum() >= least]
+            assert got == next(h for h in range(n2 + 1) for c in combinations(range(n2), h) if all(set(c) & s for s in strong))
+
+
+def test_buckets_are_even():
+    """Texts of one length, of a few lengths and of all lengths: no bucket has more than twice the mean."""
+    from quern.llm import partenum as E
+
+    rng = np.random.default_rng(5)
+    for sizes in (rng.integers(60, 70, 3000), rng.choice([5, 64, 300], 3000), rng.integers(20, 400, 1500)):
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        sets = np.concatenate([np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in sizes.tolist()])
+        band, n = np.unique(np.searchsorted(E.bands(70), sizes, side="right") - 1, return_counts=True)
+        for level in range(E.LAST):
+            routes = E.Routes(dict(zip(band.tolist(), n.tolist())), 70, level, 200)
+            load = np.bincount(routes.bucket(E.signatures(sets, at, sets[:0], 70, level)), minlength=routes.buckets)
+            assert load.max() <= 2 * load.mean()
+
+
+def test_jaccard_rounds(spark):
+    """With a low bound on crowds the second and third round find what the first doesn't pair."""
+    from quern.llm.partenum import similar_documents
+
+    texts = near_copies(2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, similar_documents(docs, crowd=2).collect())) == brute_components(texts)
 
 
 def test_jaccard_odd(odd, empty):
