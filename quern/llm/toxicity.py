@@ -1,17 +1,17 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
 Restoring: a disguised word (digits or signs for letters, letters drawn out or
-spaced out) is a lattice of characters; Viterbi decoding under a character trigram
-model, whose counts come from every document, picks the likeliest plain word.
+spaced out, letters starred out) is a lattice of characters; Viterbi decoding under a character trigram
+model, whose counts come from every document, picks the likeliest plain words, which take its place in the text.
 
-Scoring: features are the words of a text and their beginnings of 4 to 6 letters.
+Scoring: features are the words of the restored text and their beginnings of 4 to 6 letters.
 Those tied to the label by a likelihood-ratio test on the bounded labelled sample
 are kept; a small logistic regression over the strongest weight and the number of
 distinct hits gives the score. Words are hashed and looked up a batch at a time.
 
 Defined results: null and empty texts have no words and get the score of a text
 without hits; every row gives a row; without labelled rows of both classes every
-score is 0.
+score is 0. Words of any length are decoded.
 """
 
 from __future__ import annotations
@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import vec
-from quern.llm.common import chunks, id_text
+from quern.llm.common import chunks, id_text, written
 from quern.llm.labelled import fit_logistic, labelled_sample
 
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
 JOINTS = " .-_*~'’·,/"
-SWAP, DROP, KEEP_REPEAT = -1.0, -0.5, -1.0
+WILD = "*"  # stands for any letter
+SWAP, DROP, KEEP_REPEAT, ANY = -1.0, -0.5, -1.0, -1.5
 _SMALL = "abcdefghijklmnopqrstuvwxyz"
 _CODE = {c: k + 1 for k, c in enumerate(_SMALL)}
 _ALPHA = np.zeros(256, bool)
@@ -46,10 +47,13 @@ _ODD[[b[0] for b in _BYTES.values() if len(b) == 1]] = True
 _KEPT = np.ones(256, bool)
 _KEPT[[*STRIPPED.encode()]] = False
 _JOINT = np.zeros(256, bool)  # between letters spaced out, see SPACED
-_JOINT[[*b" .-_*~"]] = True
+_JOINT[[*b" \t\n\x0b\x0c\r.-_*~", 0xC2]] = True  # 0xC2: the first byte of a space that doesn't break
+_BLANK = np.zeros(256, bool)
+_BLANK[[*b" \t\n\x0b\x0c\r"]] = True
 _ITEM = np.zeros(256, bool)
 _ITEM[[*b"@$!|+(", *range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-SPACED = re.compile(r"(?<![^\s])[^\W\d_](?:[ .\-_*~][^\W_]|[ .\-_*~][@$!|+(]){2,}(?![^\s.,;:!?])")
+_GAP = r"(?:[ \t-\r]+|[\xa0.\-_*~])"
+SPACED = re.compile(rf"(?<![^\s])[^\W\d_](?:{_GAP}(?:[^\W_]|[@$!|+(])){{2,}}(?![^\s.,;:!?])")
 WORD = re.compile(r"[^\s]+")
 _DIGITS = re.compile(r"[0-9]")
 _DRAWN = re.compile(r"(.)\1{3,}", re.IGNORECASE | re.DOTALL)
@@ -148,7 +152,8 @@ def trigram_logs(counts: np.ndarray) -> np.ndarray:
 def restore(word: str, logs: np.ndarray) -> str:
     """The likeliest plain form of a disguised word, by Viterbi over its lattice.
 
-    Each place offers the letter itself, letters that a sign looks like, or nothing (a joint; all but one or two of a run).
+    Each place offers the letter itself, letters that a sign looks like or stands for, nothing (a joint; all but one or two of a
+    run), or, for a joint, the end of a word and the beginning of the next.
     """
     places: list[list[tuple[str, float]]] = []
     k = 0
@@ -162,9 +167,13 @@ def restore(word: str, logs: np.ndarray) -> str:
             options.append((c, 0.0 if n < 3 else DROP))
             if n > 1:
                 options.append((c + c, 0.0 if n == 2 else KEEP_REPEAT))
-        options += [(x, SWAP) for x in LOOKS_LIKE.get(c, "")]
+        options += [(x * k, SWAP) for x in LOOKS_LIKE.get(c, "") for k in range(1, min(n, 2) + 1)]
+        if c == WILD:
+            options += [(x, ANY) for x in _SMALL]
         if not c.isalpha():
-            options.append(("", DROP if c in JOINTS else 3 * SWAP))
+            options.append(("", DROP if c in JOINTS or c.isspace() else 3 * SWAP))
+        if c in JOINTS or c.isspace():
+            options.append((" ", 0.0))
         places.append(options)
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # the text as a chain of (letters, chain before)
     for options in places:
@@ -174,7 +183,10 @@ def restore(word: str, logs: np.ndarray) -> str:
                 x, y, s = a, b, score + cost
                 for c in letters:
                     code = _CODE.get(_plain(c), 0)
-                    if code:
+                    if c == " ":
+                        s += logs[x, y, 0]
+                        x = y = 0
+                    elif code:
                         s += logs[x, y, code]
                         x, y = y, code
                 if (x, y) not in new or new[x, y][0] < s:
@@ -191,66 +203,94 @@ def _joined(chain: tuple | None) -> str:
     return "".join(reversed(out))
 
 
-def disguised(text: str) -> list[str]:
-    """Parts of a text that may hide a word: letters with signs among them, letters drawn out, letters spaced out."""
-    return [m[0] for m in SPACED.finditer(text)] + disguised_words(text)
-
-
-def disguised_words(text: str) -> list[str]:
-    """The words of disguised(), those spaced out left out. Runs are cut to three, which restore() reads alike; there is no bound on length."""
-    found = []
-    for m in WORD.finditer(text):
-        w = _DRAWN.sub(lambda x: x[0][:3], m[0].strip(STRIPPED))
-        if len(w) < 3 or "=" in w or ":" in w or "@" in w and "." in w:
-            continue
-        core = w.rstrip("!")
-        letters = sum(map(str.isalpha, core))
-        if 2 <= letters < len(core) and len(_DIGITS.findall(core)) <= letters + 1 and all(c.isalpha() or c in LOOKS_LIKE or c in JOINTS for c in core):
-            found.append(core)
-        elif letters == len(core) >= 5 and any(core[k].lower() == core[k + 1].lower() == core[k + 2].lower() for k in range(len(core) - 2)):
-            found.append(core)
-    return found
+def _core(word: str) -> tuple[int, int, str] | None:
+    """Where the part of a word that may be disguised begins and ends, and that part with runs cut to three, which restore() reads
+    alike; None if there is none. There is no bound on length."""
+    begin, end = len(word) - len(word.lstrip(STRIPPED)), len(word.rstrip(STRIPPED))
+    end = max(begin, len(word[:end].rstrip("!")))
+    core = _DRAWN.sub(lambda x: x[0][:3], word[begin:end])
+    if len(core) < 3 or "=" in core or ":" in core or "@" in core and "." in core:
+        return None
+    letters, digits = sum(map(str.isalpha, core)), len(_DIGITS.findall(core))
+    signs = sum(c in LOOKS_LIKE for c in core)
+    if letters < len(core) and (letters > 1 or letters + signs > 2 and signs - digits + letters > 1) and digits <= letters + 1 and all(c.isalpha() or c in LOOKS_LIKE or c in JOINTS for c in core):
+        return begin, end, core
+    if letters == len(core) >= 5 and any(core[k].lower() == core[k + 1].lower() == core[k + 2].lower() for k in range(len(core) - 2)):
+        return begin, end, core
+    return None
 
 
 class Restorer:
-    """restore() with a store, and a quick screen for whole batches."""
+    """restore() with a store, for words, texts and whole batches."""
 
     def __init__(self, logs: np.ndarray):
         self.logs = logs
-        self.known = lru_cache(200_000)(lambda w: restore(w, logs))
+        self._known = lru_cache(200_000)(lambda w: restore(w, logs))
 
-    def words(self, parts: list[str]) -> list[str]:
-        return [r for w in parts if (r := self.known(w) if len(w) <= 64 else restore(w, self.logs))]
+    def known(self, part: str) -> str:
+        return self._known(part) if len(part) <= 64 else restore(part, self.logs)
 
+    def words(self, text: str) -> str:
+        """text with its disguised words restored: letters with signs among them, and letters drawn out."""
 
-def suspects(texts: pa.Array) -> dict[int, list[str]]:
-    """disguised() of the texts that have such parts, by their numbers.
+        def one(m: re.Match) -> str:
+            core = _core(m[0])
+            return m[0] if core is None else m[0][: core[0]] + self.known(core[2]) + m[0][core[1] :]
 
-    The bytes are screened by the classes that disguised() uses, and only words and texts that may hold something are decoded:
-    words with a sign or joint within their stripped limits, words with a byte sequence three times in a row, texts with
-    single characters between joints.
-    """
-    data, offsets = vec.utf8(texts)
-    if len(data) and data.max() > 127:
-        data, offsets = vec.utf8(_lowered(texts))  # for runs of which some are capitals
-    out: dict[int, list[str]] = {}
-    if len(data) < 3:
+        return WORD.sub(one, text)
+
+    def text(self, text: str) -> str:
+        """text with its disguised words and letters spaced out restored."""
+        return self.words(SPACED.sub(lambda m: self.known(_DRAWN.sub(lambda x: x[0][:3], m[0])), text))
+
+    def batch(self, texts: pa.Array) -> dict[int, str]:
+        """text() of the texts that it changes, by their numbers.
+
+        The bytes are screened by the classes that text() uses, and only words and texts that may hold something are decoded:
+        words with a sign or joint within their stripped limits, words with a byte sequence three times in a row, texts with
+        single characters between joints. texts: in small letters, see _lowered().
+        """
+        data, offsets = vec.utf8(texts)
+        out: dict[int, str] = {}
+        if len(data) < 3:
+            return out
+        raw = data.tobytes()
+        starts, ends, spaced = _suspects(data, offsets)
+        whole = set(spaced.tolist())
+        for k in sorted(whole):
+            old = raw[offsets[k] : offsets[k + 1]].decode("utf-8", "replace")
+            if (new := self.text(old)) != old:
+                out[k] = new
+        owner = np.searchsorted(offsets, starts, side="right") - 1
+        cuts: dict[int, list[tuple[int, int, bytes]]] = {}
+        for k, a, z in zip(owner.tolist(), starts.tolist(), ends.tolist()):
+            if k not in whole:
+                old = raw[a:z].decode("utf-8", "replace")
+                if (new := self.words(old)) != old:
+                    cuts.setdefault(k, []).append((a, z, new.encode("utf-8", "replace")))
+        for k, some in cuts.items():
+            at, parts = int(offsets[k]), []
+            for a, z, new in some:
+                parts += [raw[at:a], new]
+                at = z
+            out[k] = b"".join([*parts, raw[at : offsets[k + 1]]]).decode("utf-8", "replace")
         return out
-    raw = data.tobytes()
+
+
+def _suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words that may be disguised, and the numbers of texts that may have letters spaced out."""
     low = vec.LOWER[data]
     wide = bool(data.max() > 127)
 
-    # letters spaced out; the first byte of a character stands for it
-    lead = np.flatnonzero(data & 0xC0 != 0x80) if wide else None
-    first = data[lead] if wide else data
+    # letters spaced out; the first byte of a character stands for it, and one blank for several
+    lead = np.flatnonzero((data & 0xC0 != 0x80) & ~np.concatenate([[False], _BLANK[data[1:]] & _BLANK[data[:-1]]]))
+    first = data[lead]
+    spaced = np.zeros(0, np.int64)
     if len(first) > 4:
         item, joint = _ITEM[first], _JOINT[first]
         mark = _ALPHA[first[:-4]] & joint[1:-3] & item[2:-2] & joint[3:-1] & item[4:]
-        mark[1:] &= vec.SPACE[first[:-5]] | (first[:-5] < 32) | (first[:-5] > 127) | np.isin(np.arange(1, len(mark)) if lead is None else lead[1 : len(mark)], offsets)
-        at = np.flatnonzero(mark)
-        for k in np.unique(np.searchsorted(offsets, at if lead is None else lead[at], side="right") - 1).tolist():
-            if found := [m[0] for m in SPACED.finditer(raw[offsets[k] : offsets[k + 1]].decode("utf-8", "replace"))]:
-                out[k] = found
+        mark[1:] &= vec.SPACE[first[:-5]] | (first[:-5] < 32) | (first[:-5] > 127) | np.isin(lead[1 : len(mark)], offsets)
+        spaced = np.unique(np.searchsorted(offsets, lead[np.flatnonzero(mark)], side="right") - 1)
 
     # words with signs or joints, and words drawn out
     odd = _ODD[data]
@@ -266,13 +306,9 @@ def suspects(texts: pa.Array) -> dict[int, list[str]]:
     kept = np.flatnonzero(_KEPT[data] & vec.WORD[data])
     a, z = np.searchsorted(kept, starts[words]), np.searchsorted(kept, ends[words])
     words, a, z = words[a < z], kept[a[a < z]], kept[z[a < z] - 1] + 1
-    plain = np.flatnonzero(data != 33)
-    k = np.searchsorted(plain, z) - 1
-    z = np.where(k >= 0, np.minimum(z, plain[k] + 1), a) if len(plain) else a
-    total = np.concatenate([[0], np.cumsum(odd)])
-    letters = np.concatenate([[0], np.cumsum(_ALPHA[data])])
-    z = np.maximum(z, a)
-    chosen = [words[(total[z] > total[a]) & (letters[z] - letters[a] >= 2)]]
+    count = lambda mask: (total := np.concatenate([[0], np.cumsum(mask)]))[z] - total[a]
+    letters, digits, odds = count(_ALPHA[data]), count((data >= 48) & (data <= 57)), count(odd)
+    chosen = [words[(odds > 0) & (letters + odds > 1) & (digits <= letters + 1)]]
     for n in (1, 2, 3, 4) if wide else (1,):  # bytes of a character
         if len(data) >= 3 * n:
             same = low[n:] == low[:-n]
@@ -283,11 +319,7 @@ def suspects(texts: pa.Array) -> dict[int, list[str]]:
             chosen.append(of(np.flatnonzero(run)))
     chosen = np.unique(np.concatenate(chosen))
     chosen = chosen[chosen >= 0]
-    owner = np.searchsorted(offsets, starts[chosen], side="right") - 1
-    for k, a, z in zip(owner.tolist(), starts[chosen].tolist(), ends[chosen].tolist()):
-        if found := disguised_words(raw[a:z].decode("utf-8", "replace")):
-            out.setdefault(k, []).extend(found)
-    return out
+    return starts[chosen], ends[chosen], spaced
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,18 +337,21 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(keys) >> np.uint64(24), np.concatenate(owners)  # 40 bits
 
 
-def features(texts: pa.Array, restorer: Restorer | None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature hashes and the texts they are in; restored words count beside the written ones."""
-    data, offsets = vec.utf8(texts)
-    keys, owners = _runs(data, offsets)
-    if restorer is not None:
-        parts = suspects(texts)
-        which = np.array(list(parts), np.int64)
-        extra = [" ".join(restorer.words(x)) for x in parts.values()]
-        if any(extra):
-            more, owner = _runs(*vec.utf8(pa.array(extra)))
-            keys, owners = np.concatenate([keys, more]), np.concatenate([owners, which[owner]])
-    return keys, owners
+def features(texts: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
+    """Feature hashes of the restored texts, and the texts they are in."""
+    texts = _lowered(pc.fill_null(texts, ""))
+    new = restorer.batch(texts)
+    if new:
+        texts = pa.array([new.get(k, t) for k, t in enumerate(texts.to_pylist())], texts.type)
+    return _runs(*vec.utf8(texts))
+
+
+def _distinct(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort([keys, owners])
+    keys, owners = keys[order], owners[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+    return keys[new], owners[new]
 
 
 @dataclass
@@ -365,52 +400,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class: i
 
     The character model has no labels and counts every document.
     """
-    sample = labelled_sample(docs, labels, "toxic", fold, per_class)
+    sample = written(labelled_sample(docs, labels, "toxic", fold, per_class), "sample")
+    n = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    if len(n) < 2:
+        return ToxicModel()
+    logs = trigram_logs(corpus_trigrams(docs))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(logs)
         for batch in batches:
             for part in chunks(batch):
-                data, offsets = vec.utf8(part["text"])
-                keys, owners = _runs(data, offsets)
-                order = np.lexsort([keys, owners])
-                keys, owners = keys[order], owners[order]
-                new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])]) if len(keys) else np.zeros(0, bool)
-                keys, owners = keys[new], owners[new]
-                at = np.searchsorted(owners, np.arange(part.num_rows + 1))
-                blobs = [keys[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:])]
-                parts = suspects(part["text"])
-                parts = [parts.get(k) for k in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part["y"], pa.array(blobs, pa.binary()), pa.array(parts, pa.list_(pa.string()))], names=["y", "f", "t"])
-
-    rows = sample.mapInArrow(read, "y int, f binary, t array<string>").collect()  # 2 * per_class texts
-    y = np.array([r.y for r in rows], np.int64)
-    if not len(y) or y.min() == y.max():
-        return ToxicModel()
-    logs = trigram_logs(corpus_trigrams(docs))
-    restorer = Restorer(logs)
-    lists = []
-    for r in rows:
-        keys = np.frombuffer(r.f, "<u8")
-        if r.t is not None and (words := restorer.words(r.t)):
-            keys = np.unique(np.concatenate([keys, _runs(*vec.utf8(pa.array([" ".join(words)])))[0]]))
-        lists.append(keys)
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    keys, c1 = np.unique(np.concatenate([x for x, t in zip(lists, y) if t]), return_counts=True)
-    clean = np.sort(np.concatenate([x for x, t in zip(lists, y) if not t]))
-    c0 = np.searchsorted(clean, keys, side="right") - np.searchsorted(clean, keys)
+                keys, owners = _distinct(*features(part["text"], restorer))
+                yield pa.RecordBatch.from_arrays([part["y"].take(pa.array(owners)), pa.array(keys.view(np.int64))], names=["y", "key"])
+
+    found = sample.mapInArrow(read, "y int, key long").groupBy("key").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0")).where("c1 >= 3")
+    c1, c0, n1, n0 = F.col("c1"), F.col("c0"), F.lit(float(n[1])), F.lit(float(n[0]))
     p = (c1 + c0) / (n1 + n0)
-    part = lambda c, q: np.where(c > 0, c * np.log(np.maximum(c, 1) / q), 0)
+    part = lambda c, q: F.when(c > 0, c * F.log(c / q)).otherwise(0.0)
     g = 2 * (part(c1, n1 * p) + part(c0, n0 * p) + part(n1 - c1, n1 * (1 - p) + 1e-9) + part(n0 - c0, n0 * (1 - p) + 1e-9))
-    weight = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
-    chosen = (g >= least_g) & (c1 >= 3) & (weight > 2)
-    model = ToxicModel(logs, keys[chosen], weight[chosen])
-    x = np.zeros((len(y), 2))
-    for k, own in enumerate(lists):
-        at = np.minimum(np.searchsorted(model.keys, own), max(len(model.keys) - 1, 0))
-        at = at[model.keys[at] == own] if len(model.keys) else at[:0]
-        if len(at):
-            x[k] = model.weights[at].max(), np.log1p(len(at))
-    model.logistic = fit_logistic(x, y, l2=0.01)
+    weight = F.log((c1 + 0.5) / (n1 + 1)) - F.log((c0 + 0.5) / (n0 + 1))
+    chosen = found.select("key", g.alias("g"), weight.alias("weight")).where((F.col("g") >= least_g) & (F.col("weight") > 2)).select("key", "weight").toPandas()  # of 2 * per_class texts
+    chosen = chosen.sort_values("key")
+    model = ToxicModel(logs, chosen["key"].to_numpy(np.int64).view(np.uint64), chosen["weight"].to_numpy(float))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in chunks(batch):
+                x = model.evidence(some["text"])
+                yield pa.RecordBatch.from_arrays([some["y"], pa.array(x[:, 0]), pa.array(x[:, 1])], names=["y", "most", "hits"])
+
+    rows = sample.mapInArrow(weigh, "y int, most double, hits double").toPandas().sort_values(["y", "most", "hits"])  # 2 * per_class rows
+    model.logistic = fit_logistic(rows[["most", "hits"]].to_numpy(float), rows["y"].to_numpy(np.int64), l2=0.01)
     return model
 
 

@@ -335,24 +335,64 @@ def test_toxicity(spark, odd, empty):
     kept = X.clean_documents(docs.selectExpr("*", "1 as held_out"), labels)
     assert kept.columns == ["doc_id", "text", "held_out"] and all(not toxic[r.doc_id] for r in kept.collect())
     assert X.score_documents(odd, labels).count() == odd.count() and X.score_documents(empty, labels).count() == 0
+    assert len({r.score for r in X.score_documents(odd.where("doc_id in (0, 1, 2)"), labels).collect()}) == 1  # no words: the same score
     none = X.score_documents(docs, labels.limit(0)).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
 
 
 def test_toxicity_screen():
+    """The screened batch is the same as restoring every text alone, whatever stands beside a word."""
     from quern.llm import toxicity as X
 
     rng = random.Random(8)
-    pieces = [*"abzZ019@$!|+(.-_*~'’·,/€£éÉßп日 :=#\"\t\n", " ", " ", "aaa", "ÉÉé", "Ппп", "日日日", "\xa0"]
+    pieces = [*"abzZ019@$!|+(.-_*~'’·,/€£éÉßп日 :=#\"\t\n", " ", " ", "  ", "aaa", "ÉÉé", "Ппп", "日日日", "\xa0"]
     texts = ["".join(rng.choices(pieces, k=rng.randint(0, 25))) for _ in range(20_000)]
-    texts += ["an id-iot here", "mor.on", "sc_um", "t£ash", "€nd", "i d 1 0 t", "é t é", "id" + "i" * 50 + "ot", "i-" * 30 + "t", "", None]
-    got = X.suspects(pa.array(texts, pa.string()))
-    for k, t in enumerate(texts):
-        assert sorted(w.lower() for w in got.get(k, [])) == sorted(w.lower() for w in X.disguised(t or "")), t
-    assert all(got.get(len(texts) - k) for k in range(3, 12))
-    logs = X.trigram_logs(X.trigram_counts(iter(["idiot", "moron", "scum"] * 50)))
-    found = [set(X.Restorer(logs).words(X.suspects(pa.array([t])).get(0, []))) for t in ("id-iot", "mor.on", "sc_um", "idi" + "o" * 60 + "t")]
-    assert found == [{"idiot"}, {"moron"}, {"scum"}, {"idiot"}]
+    texts += ["an id-iot here", "mor.on", "sc_um", "t£ash", "€nd", "i d 1 0 t", "é  t\té", "id" + "i" * 50 + "ot", "i-" * 30 + "t", "m*ron", "a$$", "4$$", "", None]
+    model = X.Restorer(X.trigram_logs(X.trigram_counts(iter(["idiot", "moron", "scum", "ass"] * 50))))
+    low = X._lowered(pa.array(texts, pa.string()))
+    got = model.batch(low)
+    for k, t in enumerate(low.to_pylist()):
+        assert got.get(k, t) == (model.text(t) if t else t), t
+    assert len(got) > 5000
+    hidden = ["id-iot", "mor.on", "sc_um", "idi" + "o" * 60 + "t", "m*ron", "*m0r*n*", "i  d\ti\no t", "4$$"]
+    assert [model.text(t).strip("*") for t in hidden] == ["idiot", "moron", "scum", "idiot", "moron", "moron", "idiot", "ass"]
+    assert [model.text(t) for t in ("2024", "$100", "a@b.c", "x=y*z", "10:30", "plain words stay")] == ["2024", "$100", "a@b.c", "x=y*z", "10:30", "plain words stay"]
+
+
+def test_viterbi():
+    """Against all paths of small lattices."""
+    from itertools import product
+
+    from quern.llm import toxicity as X
+
+    rng = random.Random(10)
+    logs = X.trigram_logs(X.trigram_counts(iter(["".join(rng.choices("abdeilost", k=rng.randint(2, 6))) for _ in range(300)])))
+
+    def options(c, n):
+        out = [(c, X.DROP if n > 2 else 0.0)] if c.isalpha() else []
+        out += [(c + c, X.KEEP_REPEAT if n > 2 else 0.0)] if c.isalpha() and n > 1 else []
+        out += [(x * k, X.SWAP) for x in X.LOOKS_LIKE.get(c, "") for k in range(1, min(n, 2) + 1)] + ([(x, X.ANY) for x in X._SMALL] if c == "*" else [])
+        joint = c in X.JOINTS
+        return out + ([] if c.isalpha() else [("", X.DROP if joint else 3 * X.SWAP)]) + ([(" ", 0.0)] if joint else [])
+
+    def cost(text):
+        a = b = 0
+        total = 0.0
+        for c in text:
+            if c == " ":
+                total += logs[a, b, 0]
+                a = b = 0
+            else:
+                total += logs[a, b, X._CODE[c]]
+                a, b = b, X._CODE[c]
+        return total + logs[a, b, 0]
+
+    for _ in range(150):
+        word = "".join(rng.choices("abost01$!*-.", k=rng.randint(1, 5)))
+        runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", word)]
+        best = max(sum(s for _, s in path) + cost("".join(x for x, _ in path)) for path in product(*(options(c, n) for c, n in runs)))
+        got = X.restore(word, logs)
+        assert any("".join(x for x, _ in path) == got and sum(s for _, s in path) + cost(got) == pytest.approx(best) for path in product(*(options(c, n) for c, n in runs)))
 
 
 def test_toxicity_characters(spark, odd, empty):
@@ -365,7 +405,7 @@ def test_toxicity_characters(spark, odd, empty):
         assert (X.text_trigrams(pa.array(some, pa.string())).reshape(27, 27, 27) == want(some)).all()
     assert (X.corpus_trigrams(odd) == want(r.text for r in odd.collect())).all() and not X.corpus_trigrams(empty).any()
     bad = pa.array([b"ab\xff cd-ef", b"\xc3"], pa.binary()).view(pa.string())
-    assert X.suspects(bad) == {0: ["cd-ef"]} and X.text_trigrams(bad).sum() == 9
+    assert X.Restorer(X.trigram_logs(np.zeros((27, 27, 27), int))).batch(X._lowered(bad)).keys() <= {0} and X.text_trigrams(bad).sum() == 9
     docs, labels = labelled(spark, texts, "toxic", [k % 2 for k in range(len(texts))])
     got = X.fit_toxicity(docs, labels, per_class=20).logs
     assert np.array_equal(got, X.trigram_logs(want(texts)))  # all texts, whatever the sample
