@@ -495,36 +495,63 @@ def test_packing(spark, odd, empty):
     assert pack_documents(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
-def test_line_dedup(spark, odd, empty):
-    from quern.llm.templates import DEPTH, LEAST, LONG as AT, PARTS, drop_lines
+def tokens_of(line):
+    from quern.llm.templates import LEAST
+
+    t = [w.lower() for w in line.split()]
+    n, digit = len(t), [bool(re.search("[0-9]", w)) for w in t]
+    if n < LEAST:
+        return None
+    if n - sum(digit) >= 3 and 2 * (n - sum(digit)) >= n:
+        t = ["<*>" if d else w for w, d in zip(t, digit)]
+    return tuple(t)
+
+
+def recurring(lines):
+    """The lowest document whose line each line (tokens) is like, by the tree told in words: lines is {tokens: its documents}."""
+    from quern.llm import templates as L
+
+    def name(t):
+        return L.line_units(*L.vec.utf8(pa.array([" ".join("1" if w == "<*>" else w for w in t)])))[3].name.view(np.int64)[0]
+
+    out, branch = {t: min(ids) for t, ids in lines.items()}, {}
+    for t in sorted(lines, key=lambda t: (min(lines[t]), name(t))):
+        n, low, edge = len(t), min(lines[t]), [1 + (len(t) - 1) * k // L.PARTS for k in range(L.PARTS + 1)]
+        keys = [(n, t[0], k, t[:k] + t[k + 1 :]) for k in range(1, n) if n > L.LEAST] if n < L.LONG else [(n, t[0], k, t[a:b]) for k, (a, b) in enumerate(zip(edge, edge[1:]))]
+        for key in keys:
+            for at, first in branch.setdefault(key, []):
+                if sum(x == y for x, y in zip(t, first)) * 100 >= L.SIMILAR * n:
+                    out[t] = min(out[t], at)
+                    break
+            else:
+                branch[key].append((low, t))
+    return out
 
-    def keys(line):
-        t = [w.lower() for w in line.split()]
-        n, digit = len(t), [bool(re.search("[0-9]", w)) for w in t]
-        if n < LEAST:
-            return []
-        if n - sum(digit) >= 3 and 2 * (n - sum(digit)) >= n:
-            t = ["<*>" if d else w for w, d in zip(t, digit)]
-        return [tuple(t)] + [(k, n, *t[: DEPTH + (n - DEPTH) * k // PARTS], *t[DEPTH + (n - DEPTH) * (k + 1) // PARTS :]) for k in range(PARTS) if n >= AT]
+
+def test_line_dedup(spark, odd, empty):
+    from quern.llm.templates import drop_lines
 
     rng = random.Random(6)
     word = lambda: rng.choice(["red", "green", "blue", "seven", "hills", "over"]) + rng.choice(["", "s", "ly"])
-    shared = [" ".join(word() for _ in range(rng.randint(2, 40))) for _ in range(8)]
+    shared = [" ".join(word() for _ in range(rng.randint(2, 40))) for _ in range(12)]
     texts = []
-    for _ in range(60):
+    for _ in range(120):
         lines = [" ".join(word() for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(0, 5))]
         for s in rng.sample(shared, 2):
             w = s.split()
-            w[rng.randrange(len(w))] = rng.choice([word(), str(rng.randint(1, 99)), w[0]])
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice([word(), str(rng.randint(1, 99)), w[0]])
             lines.insert(rng.randint(0, len(lines)), " ".join(w))
         texts.append("\n".join(lines) + rng.choice(["", "\n", "\n\n"]))
     docs = spark.createDataFrame([(k, t, "c", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, keys string, n_chars int")
-    low = {}
+    where = {}
     for k, t in enumerate(texts):
         for line in t.split("\n"):
-            for x in keys(line):
-                low.setdefault(x, k)
-    want = {k: "\n".join(line for line in t.split("\n") if not any(low[x] < k for x in keys(line))) for k, t in enumerate(texts)}
+            if tokens_of(line):
+                where.setdefault(tokens_of(line), set()).add(k)
+    low = recurring(where)
+    assert 20 < sum(low[t] < min(ids) for t, ids in where.items()) < len(where) - 20  # found by their templates alone
+    want = {k: "\n".join(line for line in t.split("\n") if not (w := tokens_of(line)) or low[w] >= k) for k, t in enumerate(texts)}
     out = drop_lines(docs, counts=True).collect()
     assert {r.doc_id: r.text for r in out} == want and any(r.n_dropped for r in out)
     assert all(r.n_chars == len(r.text) and r["keys"] == "c" and r.n_lines == texts[r.doc_id].count("\n") + 1 for r in out)
@@ -533,6 +560,38 @@ def test_line_dedup(spark, odd, empty):
     assert drop_lines(empty).count() == 0
 
 
+def test_line_templates(spark):
+    """Fields that vary without digits, at all lengths; other lines of the same leaf stay."""
+    from quern.llm.templates import drop_lines, dropped_lines
+
+    texts = ["user alice logged in from home\n" + " ".join(f"w{'abcdefghijklmnopqrst'[k]}" for k in range(15)), "user bob logged in from home", " ".join({3: "xx", 11: "yy"}.get(k, f"w{'abcdefghijklmnopqrst'[k]}") for k in range(15)), "user carol went out to work", "user bob logged in from work\nab cd ef gh", "ab cd ef gx\nAB CD EF GH"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[3]), (None, texts[3])], "doc_id long, text string").repartition(3)
+    assert {r.id: len(r["keys"]) for r in dropped_lines(docs).collect()} == {1: 1, 2: 1, 4: 1, 5: 1, 2**63 - 1: 1}
+    split, whole = (sorted(map(str, drop_lines(docs, broadcast_ids=n).collect())) for n in (1000, 0))
+    assert split == whole
+
+
+def test_branches_over_batches():
+    """A branch goes on in the next batch with its templates."""
+    from quern.llm.templates import grow
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for key in range(40):
+        f = None if key % 2 else int(rng.integers(10, 30))
+        base = rng.integers(0, 255, (3, f or 1)).astype(np.uint8)
+        base[:, 0] = 5
+        for low in range(int(rng.integers(1, 9))):
+            x = base[rng.integers(3)].copy()
+            x[rng.integers(1, max(2, len(x))) % len(x)] = 7
+            rows.append((key, low, len(rows), bool(rng.random() < 0.2), None if f is None else x.tobytes()))
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["branch", "id", "name", "surely", "fields"])
+    whole = pa.Table.from_batches(grow(table.to_batches())).sort_by("name")
+    for size in (1, 2, 7):
+        assert pa.Table.from_batches(grow(table.to_batches(max_chunksize=size))).sort_by("name").equals(whole)
+    assert whole.num_rows > 40
+
+
 def test_line_dedup_inside_lines(spark):
     from quern.llm.templates import drop_lines
 
