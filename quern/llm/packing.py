@@ -10,13 +10,20 @@ Solving (bin completion, Korf 2002): take the largest remaining length, enumerat
 its undominated fillings from the least waste on, apply one as often as the counts
 allow, and go on; prune when the sequences used so far plus the waste bound
 ceil(remaining tokens / capacity) can't beat the incumbent, which starts as
-best-fit decreasing. It stops when the incumbent meets the bound over all tokens,
-or after `nodes` branchings, with the incumbent: always a whole valid packing.
+best-fit decreasing. On the way back every node goes on with its next filling, and, where one
+was applied several times, with applying it once; so nothing is out of reach.
+It stops when the incumbent meets `lower_bound`, when all is tried (then it is optimal),
+or after `nodes` branchings (None: no end), with the incumbent: always a whole valid packing.
+
+Defined results: null text is empty and has one piece of its end id (none without an end id); null doc_ids stay
+null; repeated rows are documents of their own; texts of any length are cut into pieces; an empty table gives no rows; only doc_id
+and text are read.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -67,24 +74,18 @@ def _open(open_bins: Counter, gaps: dict, filled: tuple[int, ...], n: int, capac
     open_bins[filled] += n
 
 
-def fillings(counts: dict[int, int], room: int, most: int) -> Iterator[tuple[int, ...]]:
-    """Fillings of room from counts, from the least waste on, at most `most` of each waste.
-
-    Reachable sums are a bit set; a filling that another, filling more with larger pieces in the same places, dominates has
-    more waste and comes later.
-    """
+def fillings(counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of room from counts, from the least waste on (sums are found by bit sets of what can be reached)."""
     sizes = [s for s in sorted(counts, reverse=True) if s <= room and counts[s]]
     reach = [1]
     full = (1 << (room + 1)) - 1
     for s in reversed(sizes):  # reach[k]: sums that the k smallest sizes make
-        bits, now, c, step = reach[-1], reach[-1], counts[s], 1
-        c = min(c, room // s)
+        now, c, step = reach[-1], min(counts[s], room // s), 1
         while c > 0:
             step = min(step, c)
             now |= now << (s * step) & full
             c, step = c - step, step * 2
         reach.append(now & full)
-        del bits
     reach.reverse()
 
     def down(k: int, total: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
@@ -100,69 +101,102 @@ def fillings(counts: dict[int, int], room: int, most: int) -> Iterator[tuple[int
                 yield from down(k + 1, rest, chosen + (s,) * m)
 
     top = reach[0]
+    rising = sizes[::-1]
     while top:
         total = top.bit_length() - 1
         top ^= 1 << total
-        for found, filling in enumerate(down(0, total, ())):
-            if found >= most:
-                break
-            yield filling
+        for filling in down(0, total, ()):
+            if not dominated(filling, counts, rising, room - total):
+                yield filling
+
 
+def dominated(filling: tuple[int, ...], counts: dict[int, int], rising: list[int], waste: int) -> bool:
+    """Whether what is left of counts (its sizes: rising) makes the filling better: one more piece, or a larger piece in the place of one or of two."""
+    used = Counter(filling)
+
+    def has(low: int, high: int) -> bool:
+        for s in rising[bisect_left(rising, low) : bisect_right(rising, high)]:
+            if counts[s] > used[s]:
+                return True
+        return False
+
+    if waste and has(1, waste):
+        return True
+    if waste and any(has(s + 1, s + waste) for s in used):
+        return True
+    held = sorted(used)
+    return any(has(s + t, s + t + waste) for k, s in enumerate(held) for t in held[k:] if s != t or used[s] > 1)
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's bound L2: for every k, pieces over capacity - k are alone, those over half are apart, and pieces from k
+    to half fill what these leave."""
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    if not len(sizes):
+        return 0
+    number, tokens = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * sizes)])
+    half = np.searchsorted(sizes, capacity // 2, side="right")
+    best = 0
+    for k in [0, *sizes[:half].tolist()]:
+        low, alone = np.searchsorted(sizes, k), max(half, np.searchsorted(sizes, capacity - k, side="right"))
+        apart = number[alone] - number[half]
+        space = apart * capacity - (tokens[alone] - tokens[half])
+        best = max(best, int(number[-1] - number[alone] + apart - min(0, (space - (tokens[half] - tokens[low])) // capacity)))
+    return best
 
-def pack(counts: dict[int, int], capacity: int, nodes: int = 20_000, width: int = 3) -> list[Run]:
+
+def pack(counts: dict[int, int], capacity: int, nodes: int | None = 20_000) -> list[Run]:
     """A packing of the histogram counts (length: number) as runs; as few sequences as the search finds."""
     counts = {k: v for k, v in counts.items() if v}
     if not counts:
         return []
     if min(counts) < 1 or max(counts) > capacity:
         raise ValueError("lengths must be from 1 to the capacity")
-    total = sum(k * v for k, v in counts.items())
-    bound = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
+    bound = lower_bound(counts, capacity)
     best = best_fit_decreasing(counts, capacity)
     fewest = sum(n for _, n in best)
-    budget = [nodes]
+    # A level of the search: what is left, its tokens, sequences used, runs so far, the fillings to come, and those to apply once.
+    stack: list[tuple[dict[int, int], int, int, list[Run], Iterator[tuple[int, ...]], list[tuple[int, ...]]]] = []
 
-    def search(left: dict[int, int], tokens: int, used: int, runs: list[Run]) -> bool:
+    def enter(left: dict[int, int], tokens: int, used: int, runs: list[Run]) -> None:
         nonlocal best, fewest
-        while left:
-            if used - (-tokens // capacity) >= fewest:
-                return False
-            budget[0] -= 1
-            if budget[0] < 0:
-                return True
+        if left and 2 * max(left) <= capacity and len(left) == 1:
+            ((size, n),) = left.items()
+            per = capacity // size
+            runs = runs + [((size,) * per, n // per)] * bool(n // per) + [((size,) * (n % per), 1)] * bool(n % per)
+            used, left = used + -(-n // per), {}
+        if not left:
+            if used < fewest:
+                best, fewest = runs, used
+        elif used + -(-tokens // capacity) < fewest:
             large = max(left)
-            if 2 * max(left) <= capacity and len(left) == 1:
-                per = capacity // large
-                n, rest = divmod(left[large], per)
-                runs = runs + [((large,) * per, n)] * bool(n) + [((large,) * rest, 1)] * bool(rest)
-                used += n + bool(rest)
-                left = {}
-                break
-            rest = dict(left)
-            rest[large] -= 1
-            options = []
-            for filling in fillings(rest, capacity - large, width):
-                options.append(filling)
-                if len(options) >= width:
-                    break
-            options = options or [()]
-            steps = []
-            for filling in options:
-                need = Counter((large, *filling))
-                n = min(left[s] // m for s, m in need.items())
-                after = {s: c - n * need.get(s, 0) for s, c in left.items() if c - n * need.get(s, 0)}
-                steps.append((after, tokens - n * (large + sum(filling)), used + n, [*runs, ((large, *filling), n)]))
-            for step in steps[1:][::-1]:
-                stack.append(step)
-            left, tokens, used, runs = steps[0]
-        if used < fewest:
-            best, fewest = runs, used
-        return fewest <= bound
-
-    stack = [(counts, total, 0, [])]
+            stack.append((left, tokens, used, runs, fillings({**left, large: left[large] - 1}, capacity - large), []))
+
+    enter(counts, sum(k * v for k, v in counts.items()), 0, [])
     while stack and fewest > bound:
-        if search(*stack.pop()):
-            break
+        left, tokens, used, runs, more, once = stack[-1]
+        if used + -(-tokens // capacity) >= fewest:
+            stack.pop()
+            continue
+        filling = next(more, None)
+        times = None
+        if filling is None:
+            if not once:
+                stack.pop()
+                continue
+            filling, times = once.pop(0), 1
+        if nodes is not None:
+            nodes -= 1
+            if nodes < 0:
+                break
+        large = max(left)
+        need = Counter((large, *filling))
+        most = min(left[s] // m for s, m in need.items())
+        if times is None and most > 1:
+            once.append(filling)
+        n = times or most
+        enter({s: c - n * need[s] for s, c in left.items() if c > n * need[s]}, tokens - n * (large + sum(filling)), used + n, [*runs, ((large, *filling), n)])
     return best
 
 
@@ -201,7 +235,7 @@ def piece_table(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: i
     return id_text(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = 2048, nodes: int = 20_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = 2048, nodes: int | None = 20_000) -> DataFrame:
     """Packs docs (doc_id, text) into sequences of at most capacity tokens.
 
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Only documents longer than the capacity
