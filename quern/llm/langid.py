@@ -1,11 +1,11 @@
 """Language ID: each text as a mixture of languages, by expectation-maximisation.
 
-The languages' models are hashed byte 3-gram frequencies, counted over a bounded
-sample of training rows (`per_lang` expected of each language). A text's units are
+The languages' models are hashed byte 3-gram frequencies, counted over every
+training row: sums a task, then a table of a bounded size a language. A text's units are
 its words, whose likelihood under a language is the product of its 3-grams'
 (tempered, as they overlap). EM finds the proportions; the set of languages is the
 one of the nested sets "k largest" with the best penalised likelihood. All texts of
-an Arrow chunk are iterated together by array operations.
+an Arrow chunk are iterated together by array operations, until no proportion moves by more than `close`.
 
 Defined results: a text that is null, or has no letter, is `und` with score 0; so is
 every text when there is no training row. Ties go to the language first in order.
@@ -31,11 +31,15 @@ _CLASS = vec.LOWER.copy()
 _CLASS[~_LETTER] = 32
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """The bucket of the 3-gram around each byte (lower case; all but letters are a space)."""
+def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bucket of the 3-gram around each byte (lower case; all but letters are a space, and so are a text's limits)."""
     x = np.full(len(data) + 2, 32, np.uint32)
     x[1:-1] = _CLASS[data]
-    return (((x[:-2] | (x[1:-1] << 8) | (x[2:] << 16)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32)
+    before, after = x[:-2].copy(), x[2:].copy()
+    full = offsets[1:] > offsets[:-1]
+    before[offsets[:-1][full]] = 32
+    after[offsets[1:][full] - 1] = 32
+    return (((before | (x[1:-1] << 8) | (after << 16)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32)
 
 
 @dataclass
@@ -44,7 +48,8 @@ class LanguageModel:
     logs: np.ndarray  # languages x buckets
     temper: float = 0.5
     penalty: float = 2.0
-    rounds: int = 8
+    close: float = 1e-4
+    rounds: int = 200  # an end for cycles of rounding
 
     def mixtures(self, texts: pa.Array) -> np.ndarray:
         """The proportions of the selected languages of every text (rows of zeros: no letter)."""
@@ -54,7 +59,7 @@ class LanguageModel:
         starts, ends = vec.pieces(_LETTER[data], vec.limits(len(data), offsets))
         if not len(starts) or not k:
             return out
-        gram = _grams(data)
+        gram = _grams(data, offsets)
         like = np.empty((len(starts), k))
         for j in range(k):
             total = np.concatenate([[0.0], np.cumsum(self.logs[j][gram], dtype=np.float64)])
@@ -67,22 +72,36 @@ class LanguageModel:
         size = np.diff(first)[has].astype(float)
         owner, at = np.repeat(np.arange(len(has)), np.diff(first)[has]), first[:-1][has]
 
-        def em(share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-            for _ in range(rounds):
-                part = like * share[owner]
+        def em(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Proportions where they have settled, and the likelihood there; settled texts are left out as it goes on."""
+            share = share.copy()
+            live, rows, part_like = np.arange(len(has)), np.arange(len(owner)), like
+            for k in range(self.rounds):
+                lengths = np.diff(np.append(at, len(owner)))[live]
+                begin = np.cumsum(lengths) - lengths
+                now = share[live]
+                part = part_like * np.repeat(now, lengths, axis=0)
                 part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
-                share = np.add.reduceat(part, at) / size[:, None]
+                new = np.add.reduceat(part, begin) / size[live][:, None]
+                share[live] = new
+                moving = np.abs(new - now).max(1) > self.close
+                if not moving.any():
+                    break
+                if moving.mean() < 0.7:
+                    keep = np.repeat(moving, lengths)
+                    live, rows = live[moving], rows[keep]
+                    part_like = like[rows]
             return share, np.add.reduceat(np.log(np.maximum((like * share[owner]).sum(1), 1e-300)), at)
 
-        whole, _ = em(np.full((len(has), k), 1 / k), self.rounds)
+        whole, _ = em(np.full((len(has), k), 1 / k))
         order = np.argsort(-whole, axis=1, kind="stable")
         best, value = None, None
         for m in range(1, k + 1):
             mask = np.zeros_like(whole, bool)
             np.put_along_axis(mask, order[:, :m], True, 1)
-            share = np.where(mask, np.maximum(whole, 1e-6), 0)
+            share = np.where(mask, whole + 0.05, 0)  # from near nothing, the steps would be too small to tell from none
             share /= share.sum(1, keepdims=True)
-            share, score = em(share, self.rounds // 2 if m > 1 else 0)
+            share, score = em(share)
             score = score - self.penalty * (m - 1) * np.log(size + 1)
             if best is None:
                 best, value = share, score
@@ -98,42 +117,43 @@ class LanguageModel:
         return out
 
 
-def fit_languages(docs: DataFrame, fold: int = 4, held: int = 2, per_lang: int = 1500) -> LanguageModel:
-    """Models from text and lang of rows with crc32(doc_id as text) mod fold != held; per_lang rows of each are expected."""
+def fit_languages(docs: DataFrame, fold: int = 4, held: int = 2) -> LanguageModel:
+    """Models from text and lang of all rows with crc32(doc_id as text) mod fold != held."""
     key = F.col("doc_id").cast("long")
     rows = docs.select(key.alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(key.cast("string")) % fold != held))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not counts:
-        return LanguageModel([], np.zeros((0, 1 << BITS)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n) * (1 << 20))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in chunks(batch):
                 data, offsets = vec.utf8(part["text"])
-                gram, letter = _grams(data), _LETTER[data]
-                for k, lang in enumerate(part["lang"].to_pylist()):
-                    own = slice(offsets[k], offsets[k + 1])
-                    found = np.bincount(gram[own][letter[own]], minlength=1 << BITS)
-                    total[lang] = total[lang] + found if lang in total else found
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())], names=["lang", "n"])
-
-    found: dict[str, np.ndarray] = {}
-    for r in sample.repartition(8).mapInArrow(count, "lang string, n binary").collect():  # 8 rows a language at most
-        found[r.lang] = found.get(r.lang, 0) + np.frombuffer(r.n, "<i8")
-    languages = sorted(found)
-    table = np.array([found[x] for x in languages], float)
+                gram, letter = _grams(data, offsets), _LETTER[data]
+                lang = part["lang"].dictionary_encode()
+                text_of = np.repeat(lang.indices.to_numpy(zero_copy_only=False), np.diff(offsets))
+                for k, name in enumerate(lang.dictionary.to_pylist()):
+                    found = np.bincount(gram[letter & (text_of == k)], minlength=1 << BITS)
+                    total[name] = total[name] + found if name in total else found
+        for name, n in total.items():
+            cell = np.flatnonzero(n) if n.any() else np.zeros(1, np.int64)  # a language without letters is known too
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(cell), pa.string()), pa.array(cell, pa.int32()), pa.array(n[cell])], names=["lang", "cell", "n"])
+
+    sums = rows.select("lang", "text").mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()  # 1 << BITS rows a language at most
+    if not sums.num_rows:
+        return LanguageModel([], np.zeros((0, 1 << BITS)))
+    lang = sums["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(lang.dictionary.to_pylist())
+    place = np.array([languages.index(x) for x in lang.dictionary.to_pylist()])
+    table = np.zeros((len(languages), 1 << BITS))
+    table[place[lang.indices.to_numpy(zero_copy_only=False)], sums["cell"].to_numpy()] = sums["n"].to_numpy()
     shared = table.sum(0) + 0.1
     shared /= shared.sum()
     logs = np.log((table + 50 * shared) / (table.sum(1, keepdims=True) + 50))
     return LanguageModel(languages, logs.astype(np.float32))
 
 
-def identify_documents(docs: DataFrame, fold: int = 4, held: int = 2, per_lang: int = 1500) -> DataFrame:
+def identify_documents(docs: DataFrame, fold: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score and languages ("xx:share,...", largest first) of every row of docs (doc_id, text, lang)."""
-    model = fit_languages(docs, fold, held, per_lang)
+    model = fit_languages(docs, fold, held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
