@@ -29,7 +29,7 @@ from quern.llm import vec
 from quern.llm.common import chunks, filesystem, id_text, shared_dir
 
 RATE, BLOCK = 16_000, 64
-UP, DOWN, TAPS = 1, 2, 8
+UP, DOWN, TAPS = 3, 4, 8
 FRAME, HOP, MELS, PATCH = 512, 256, 16, 16
 HIGH, LOW, HOLD = 0.5, 0.25, 2
 
@@ -76,14 +76,13 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) ->
     m = np.arange(n, dtype=np.int64) * down + half
     phase, last = m % up, m // up
     x = np.concatenate([np.zeros(width, np.float32), x.astype(np.float32), np.zeros(width + half // up + 1, np.float32)])
-    if up == 1:
-        view = np.lib.stride_tricks.sliding_window_view(x, width)[last[0] + 1 :: down][:n]
-        return view @ h[0, ::-1]
     out = np.empty(n, np.float32)
     view = np.lib.stride_tricks.sliding_window_view(x, width)
     for p in range(up):
         rows = np.flatnonzero(phase == p)
-        out[rows] = view[last[rows] + 1] @ h[p, ::-1]
+        if len(rows):  # every step-th output, over inputs an equal way apart
+            apart = last[rows[1]] - last[rows[0]] if len(rows) > 1 else 1
+            out[rows] = view[last[rows[0]] + 1 :: apart][: len(rows)] @ h[p, ::-1]
     return out
 
 
@@ -210,7 +209,7 @@ def media_features(spark, files: list[str]) -> DataFrame:
             for uri in batch["uri"].to_pylist():
                 yield from _one_file(uri)
 
-    table = spark.createDataFrame([(f,) for f in files], "uri string").repartition(max(1, len(files)))
+    table = spark.createDataFrame([(f,) for f in files], "uri string").repartitionByRange(max(1, len(files)), "uri")  # a file a task
     return table.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long, loud_s double")
 
 
