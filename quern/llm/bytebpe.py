@@ -46,6 +46,7 @@ class ByteBpe:
         self.pattern, self.by_spans = regex.compile(pattern), pattern == GPT2
         self.token = {rank: token for token, rank in ranks.items()}
         self.size = {rank: len(token) for rank, token in self.token.items()}
+        self.longest = max(self.size.values(), default=0)
         listed = [self.token.get(k) for k in range(max(self.token, default=-1) + 1)]
         self.tokens = pa.array(listed, pa.large_binary())
         self.decimals = pa.array([f"{k} ".encode() for k in range(len(listed))], pa.large_binary())
@@ -109,7 +110,7 @@ class ByteBpe:
         n, chars, prefix, get = len(piece), piece.decode("latin-1"), self.trie.longest_prefix, self.ranks.get
 
         def longest(at: int) -> int:
-            most = prefix(chars[at : at + 256])
+            most = prefix(chars[at : at + self.longest])
             while most:
                 rank = get(piece[at : at + most])
                 if rank is not None:
