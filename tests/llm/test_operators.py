@@ -243,11 +243,11 @@ def test_media_signal():
 
     t = np.arange(16_000)
     x = np.sin(2 * np.pi * 500 * t / 16_000).astype(np.float32)
-    for up, down in ((1, 2), (3, 2), (2, 3)):
+    for up, down in ((1, 2), (3, 2), (2, 3), (M.UP, M.DOWN), (4, 2)):
         y = M.resample(x, up, down)
         z = np.sin(2 * np.pi * 500 * np.arange(len(y)) * down / up / 16_000)
         assert np.abs(y - z)[60:-60].max() < 0.01
-    mel, energy = M.log_mel(M.resample(x), 8000)
+    mel, energy = M.log_mel(M.resample(x, 1, 2), 8000)
     centre = (mel.mean(0)).argmax()
     assert M._mel(512, 16, 8000)[round(500 / 8000 * 512), centre] > 0.3
     loud = np.array([0, 0, 1, 0.6, 0.1, 0.6, 0.1, 0.1, 0, 0.9, 0.9])
@@ -456,12 +456,79 @@ def test_language(spark, odd, empty):
     mixed = " ".join([word("aa") for _ in range(60)] + [word("bb") for _ in range(40)])
     share = dict(zip(model.languages, model.mixtures(pa.array([mixed]))[0]))
     assert share["aa"] == pytest.approx(0.6, abs=0.06) and share["bb"] == pytest.approx(0.4, abs=0.06) and share["cc"] == 0
+    counts = {}
+    for k, t, lang in rows:  # every training row counts, one byte after the other
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            for g, b in zip(L._grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).tolist(), t.encode()):
+                counts[lang, g] = counts.get((lang, g), 0) + bool(L._LETTER[b])
+    table = np.zeros((3, 1 << L.BITS))
+    for (lang, g), n in counts.items():
+        table["abc".index(lang[0]), g] = n
+    shared = (table.sum(0) + 0.1) / (table.sum(0) + 0.1).sum()
+    assert np.allclose(model.logs, np.log((table + 50 * shared) / (table.sum(1, keepdims=True) + 50)), atol=1e-5)
     und = L.identify_documents(spark.createDataFrame([(1, None, "aa"), (2, "12 — !", "aa"), (3, "", None)], docs.schema).union(docs)).where("doc_id in (1, 2, 3) and lang_pred = 'und'")
     assert und.count() == 3
     nothing = L.identify_documents(odd.selectExpr("doc_id", "text", "cast(null as string) as lang", "score"))
     assert {(r.lang_pred, r.score) for r in nothing.collect()} == {("und", 0.0)} and L.identify_documents(empty).count() == 0
 
 
+def test_language_mixtures_against_loops():
+    """EM and the choice of languages, text by text and word by word; the chosen set against all sets of languages."""
+    from quern.llm import langid as L
+
+    rng = np.random.default_rng(7)
+    model = L.LanguageModel(["aa", "bb", "cc", "dd"], np.log(rng.dirichlet(np.full(1 << L.BITS, 0.02), 4) + 1e-7).astype(np.float32))
+    letters = np.array(list("abcdeéz"))
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 7))) for _ in range(rng.integers(1, 25))) for _ in range(60)]
+
+    def settled(like, names):
+        p = np.full(len(names), 1 / len(names))
+        for _ in range(600):
+            part = like[:, names] * p
+            p = (part / part.sum(1, keepdims=True)).mean(0)
+        return p, np.log((like[:, names] * p).sum(1)).sum()
+
+    best = 0
+    for text, got in zip(texts, model.mixtures(pa.array(texts))):
+        like = []
+        for word in re.finditer(rb"[A-Za-z\x80-\xff]+", text.encode()):
+            data = np.frombuffer(text.encode(), np.uint8)
+            grams = L._grams(data, np.array([0, len(data)]))[word.start() : word.end()]
+            like.append(model.temper * model.logs[:, grams].sum(1, dtype=float))
+        like = np.exp(np.array(like) - np.max(like, 1)[:, None])
+        value = lambda names: settled(like, names)[1] - model.penalty * (len(names) - 1) * np.log(len(like) + 1)
+        chosen = np.flatnonzero(got).tolist()
+        share, most = settled(like, chosen)
+        assert most - np.log((like[:, chosen] * got[chosen]).sum(1)).sum() < 0.05 and np.abs(got[chosen] - share).max() < 0.1
+        every = [list(c) for m in range(1, 5) for c in combinations(range(4), m)]
+        best += max(map(value, every)) - value(chosen) < 0.1
+    assert best >= 50  # nested sets miss the best of all sets now and then
+
+
+def test_log_mel_by_the_definition():
+    """The features of a short clip, sample by sample."""
+    from quern.llm import media as M
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=1500).astype(np.float32)
+    rate = M.RATE * M.UP / M.DOWN
+    mel, energy = M.log_mel(x, rate)
+    frames = 1 + -(-(len(x) - M.FRAME) // M.HOP)
+    padded = np.concatenate([x, np.zeros(frames * M.HOP + M.FRAME)])
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [hz(k * 2595 * np.log10(1 + rate / 2 / 700) / (M.MELS + 1)) for k in range(M.MELS + 2)]
+    assert mel.shape == (frames, M.MELS)
+    for k in range(frames):
+        part = padded[k * M.HOP : k * M.HOP + M.FRAME]
+        assert energy[k] == pytest.approx((part**2).mean(), rel=1e-4)
+        part = part * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(M.FRAME) / (M.FRAME - 1)))
+        power = [abs(sum(part * np.exp(-2j * np.pi * f * np.arange(M.FRAME) / M.FRAME))) ** 2 for f in range(M.FRAME // 2 + 1)]
+        for j in range(M.MELS):
+            low, mid, high = edges[j : j + 3]
+            total = sum(p * max(0.0, min((f * rate / M.FRAME - low) / (mid - low), (high - f * rate / M.FRAME) / (high - mid))) for f, p in enumerate(power))
+            assert mel[k, j] == pytest.approx(np.log(total + 1e-6), abs=0.02)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_packing_of_histograms(seed):
     from quern.llm.packing import best_fit_decreasing, pack
@@ -483,6 +550,45 @@ def test_packing_of_histograms(seed):
     assert sum(n for _, n in best_fit_decreasing(hard, 61)) == 4 and sum(n for _, n in pack(hard, 61)) == 3
 
 
+def test_packing_is_optimal():
+    """Without a bound on nodes: as few sequences as trying every placement finds, and the bound is never above that."""
+    from collections import Counter
+
+    from quern.llm.packing import best_fit_decreasing, dominated, fillings, lower_bound, pack
+
+    def fewest(sizes, capacity):
+        best = len(sizes)
+
+        def go(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(sizes):
+                best = len(bins)
+                return
+            for j in {b: j for j, b in enumerate(bins) if b + sizes[k] <= capacity}.values():
+                go(k + 1, [*bins[:j], bins[j] + sizes[k], *bins[j + 1 :]])
+            go(k + 1, [*bins, sizes[k]])
+
+        go(0, [])
+        return best
+
+    worse = 0
+    for seed in range(400):
+        rng = random.Random(seed)
+        capacity = rng.choice([20, 60, 100])
+        low = rng.choice([1, capacity // 5])
+        sizes = sorted((rng.randint(low, rng.choice([capacity // 2, capacity])) for _ in range(rng.randint(1, 11))), reverse=True)
+        counts, best = Counter(sizes), fewest(sizes, capacity)
+        assert sum(n for _, n in pack(counts, capacity, None)) == best and lower_bound(counts, capacity) <= best
+        worse += sum(n for _, n in best_fit_decreasing(counts, capacity)) > best
+    assert worse >= 3
+    counts = {7: 2, 5: 2, 3: 3, 2: 1}
+    got = list(fillings(counts, 12))
+    assert got[0] in [(7, 5), (7, 3, 2), (5, 5, 2), (5, 3, 2)] and len(set(got)) == len(got) and (7, 3, 2) not in got  # 5 does for 3 and 2
+    assert not any(dominated(f, counts, sorted(counts), 12 - sum(f)) for f in got)
+
+
 def test_packing(spark, odd, empty):
     from quern.llm.packing import pack_documents
 
