@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.lineage import stored
 from quern.operators.tokens import tokens, words_of
 
 
@@ -42,12 +43,15 @@ class Corpus:
 
     docs: DataFrame
     tf: DataFrame
+    keep: bool = False  # class_tf is stored too
 
     @classmethod
-    def of(cls, docs: DataFrame, label: Column, tag: Column | None = None, words: Column | None = None) -> Corpus:
+    def of(cls, docs: DataFrame, label: Column, tag: Column | None = None, words: Column | None = None, keep: bool = False) -> Corpus:
+        """keep: the documents' tags and tf are computed at once and stored, for plans that read them more than once."""
         tag = tag if tag is not None else F.when(F.col("doc_id") % 10 < 7, "train").otherwise("test")
         meta = docs.select("doc_id", label.alias("class"), tag.alias("tag"))
-        return cls(meta, term_counts(tokens(docs, words=words if words is not None else words_of(F.col("text")))))
+        tf = term_counts(tokens(docs, words=words if words is not None else words_of(F.col("text"))))
+        return cls(stored(meta, "docs"), stored(tf, "tf"), True) if keep else cls(meta, tf)
 
     def tagged(self, tag: str) -> DataFrame:
         """tf of the documents of a tag, with their class."""
@@ -60,7 +64,8 @@ class Corpus:
     @cached_property
     def class_tf(self) -> DataFrame:
         """class, word, n (occurrences), df (documents) over the training documents."""
-        return self.train.groupBy("class", "word").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+        rows = self.train.groupBy("class", "word").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+        return stored(rows, "class_tf") if self.keep else rows
 
     @cached_property
     def class_stats(self) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.lineage import cut
+from quern.functions.portable import normal, uniform
 from quern.operators.classify import by_doc, naive_bayes, softmax
 from quern.operators.corpus import Corpus, soft_merge, soft_priors
 
@@ -20,6 +21,17 @@ def soft_model(tf: DataFrame, probs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells, soft_priors(probs).join(size, "class").crossJoin(F.broadcast(v))  # a row a class
 
 
+def soft_log_odds(cells: DataFrame, classes: DataFrame, top: int = 10) -> DataFrame:
+    """class, word, lor = P(w|c) ln(P(w|c) / P(w|other classes)) of a soft model, Laplace on both; the `top` of each class."""
+    words = cells.groupBy("word").agg(F.sum("n").alias("total"))
+    whole = classes.agg(F.sum("size").alias("all"))
+    rows = cells.where("n > 0").join(words, "word").join(F.broadcast(classes.crossJoin(F.broadcast(whole)).select("class", "size", "v", "all")), "class")
+    p = (F.col("n") + 1) / (F.col("size") + F.col("v"))
+    q = (F.col("total") - F.col("n") + 1) / (F.col("all") - F.col("size") + F.col("v"))
+    out = rows.select("class", "word", F.round(p * F.log(p / q), 9).alias("lor"))
+    return out.withColumn("k", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("lor"), "word"))).where(F.col("k") <= top).drop("k")
+
+
 def soft_scores(tf: DataFrame, docs: DataFrame, cells: DataFrame, classes: DataFrame, temper: float = 1.0) -> DataFrame:
     """doc_id, class, score of docs (doc_id) under a soft model; temper over 1 flattens."""
     rows = tf.join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -59,6 +71,23 @@ def em(corpus: Corpus, rounds: int = 7, unlabelled: str = "test", weight: float
     return guess
 
 
+def perturbed_counts(corpus: Corpus, kind: str = "gaussian", seed: int = 1) -> DataFrame:
+    """class, word, n: class counts with seeded noise. gaussian: a binomial's spread, not below 0; gamma: a draw of that shape (Marsaglia
+    and Tsang's method, the first of four tries that holds, else its centre)."""
+    rows = corpus.class_tf.join(F.broadcast(corpus.class_stats.select("class", "word_count")), "class")
+    n = F.col("n")
+    if kind == "gaussian":
+        share = n / F.col("word_count")
+        return rows.select("class", "word", F.greatest(n + normal("class", "word", seed=seed) * F.sqrt(F.col("word_count") * share * (1 - share)), F.lit(0.0)).alias("n"))
+    d = n - 1 / 3
+    draw = d
+    for k in (3, 2, 1, 0):
+        z, u = normal("class", "word", seed=f"{seed}g{k}"), uniform("class", "word", seed=f"{seed}u{k}")
+        v = F.pow(1 + z / F.sqrt(9 * d), 3)
+        draw = F.when((v > 0) & (F.log(u) < 0.5 * z * z + d - d * v + d * F.log(F.when(v > 0, v).otherwise(1.0))), d * v).otherwise(draw)
+    return rows.select("class", "word", draw.alias("n"))
+
+
 def perplexity(tf: DataFrame, docs: DataFrame, cells: DataFrame, classes: DataFrame) -> DataFrame:
     """One row: exp of minus the mean log likelihood of a word of docs under a soft model."""
     rows = tf.join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -124,7 +153,7 @@ def select_longest(tf: DataFrame, docs: DataFrame, n: int) -> DataFrame:
 
 
 def select_random(docs: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    return docs.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), "doc_id").limit(n).select("doc_id")
+    return docs.orderBy(uniform("doc_id", seed=seed), "doc_id").limit(n).select("doc_id")
 
 
 def committee_disagreement(members: list[DataFrame]) -> DataFrame:
@@ -139,6 +168,64 @@ def committee_disagreement(members: list[DataFrame]) -> DataFrame:
     return kl.join(votes.groupBy("doc_id").agg(F.sum(-F.col("p") * F.log("p")).alias("vote_entropy")), "doc_id")
 
 
+def committee(corpus: Corpus, members: int = 3, tag: str = "test", seed: int = 1, kind: str = "gamma") -> list[DataFrame]:
+    """Scores of the tag's documents by Laplace models of perturbed counts, one a member."""
+    out = []
+    for k in range(members):
+        cells = perturbed_counts(corpus, kind, seed * 1000 + k).where("n > 0")
+        size = cells.groupBy("class").agg(F.sum("n").alias("size"))
+        v = corpus.class_words.agg(F.count("*").alias("v"))
+        classes = corpus.class_stats.select("class", "prior").join(size, "class").crossJoin(F.broadcast(v))  # a row a class
+        known = corpus.tf.join(corpus.class_words.select("word"), "word", "left_semi")
+        out.append(soft_scores(known, corpus.docs.where(F.col("tag") == tag), cells, classes))
+    return out
+
+
+def disagreement(members: list[DataFrame], kind: str, weights: DataFrame | None = None) -> DataFrame:
+    """doc_id, score: how far a committee (doc_id, class, score each) is from one mind.
+
+    qbc: mean divergence from the mean; ve: entropy of the votes; wkl: qbc times a document's weight (doc_id, weight: its density,
+    as weighted_kl does); dkl: mean divergence of a member from the next one. sve and skl are ve and qbc scaled to (0, 1), by which
+    a stream of documents is kept at random, see stream_select()."""
+    both = committee_disagreement(members)
+    if kind in ("qbc", "skl", "wkl"):
+        out = both.select("doc_id", F.col("kl").alias("score"))
+        if kind == "wkl":
+            out = out.join(weights, "doc_id").select("doc_id", (F.col("score") * F.col("weight")).alias("score"))
+        return out.withColumn("score", F.col("score") / (1 + F.col("score"))) if kind == "skl" else out
+    if kind in ("ve", "sve"):
+        k = F.log(F.lit(float(max(len(members), 2))))
+        return both.select("doc_id", (F.col("vote_entropy") / k if kind == "sve" else F.col("vote_entropy")).alias("score"))
+    parts = None
+    for a, b in zip(members, members[1:]):
+        q = b.select("doc_id", "class", F.col("score").alias("q"))
+        kl = a.join(q, ["doc_id", "class"]).groupBy("doc_id").agg(F.sum(F.when(F.col("score") > 0, F.col("score") * F.log(F.col("score") / F.greatest("q", F.lit(1e-12)))).otherwise(0.0)).alias("score"))
+        parts = kl if parts is None else parts.unionByName(kl)
+    return parts.groupBy("doc_id").agg(F.avg("score").alias("score"))
+
+
+def select_disagreed(scores: DataFrame, n: int) -> DataFrame:
+    """The n documents of the highest disagreement (ties: the doc_id)."""
+    return scores.orderBy(F.desc(F.round("score", 6)), "doc_id").limit(n).select("doc_id")
+
+
+def stream_select(scores: DataFrame, seed: int = 1) -> DataFrame:
+    """The documents of a stream that are kept: each with its score as the probability, by a seeded draw."""
+    return scores.where(uniform("doc_id", seed=seed) < F.col("score")).select("doc_id")
+
+
+def remap_scores(scores: DataFrame, docs: DataFrame, positive: str, steps: int = 20) -> DataFrame:
+    """doc_id, score: scores of a class turned into precision, by the share of right ones among labelled documents (docs: doc_id, class)
+    of at least such a score, at `steps` steps of score and never falling as the score rises."""
+    own = scores.where(F.col("class") == positive).withColumn("step", F.least(F.floor(F.col("score") * steps), F.lit(steps - 1)).cast("int")).select("doc_id", "score", "step")
+    known = own.join(docs.select("doc_id", (F.col("class") == positive).cast("int").alias("hit")), "doc_id")
+    per = known.groupBy("step").agg(F.sum("hit").alias("hit"), F.count("*").alias("n"))  # `steps` rows
+    above = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    curve = per.select("step", (F.sum("hit").over(above) / F.sum("n").over(above)).alias("precision")).select("step", F.max("precision").over(below).alias("precision"))
+    return own.join(F.broadcast(curve), "step").select("doc_id", F.col("precision").alias("score"))
+
+
 def density(corpus: Corpus, docs: DataFrame, beta: float = 5.0, alpha: float = 0.5) -> DataFrame:
     """doc_id, density: exp of -beta times the mean divergence of the corpus's documents from the document's model, which is
     mixed half and half with P(w).

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.portable import uniform
 from quern.operators.corpus import Corpus, vocabulary
 
 
@@ -98,5 +99,4 @@ def keep_unlabelled(tf: DataFrame, docs: DataFrame, tag: str = "unlabeled") -> D
 
 def noisy_counts(tf: DataFrame, seed: int = 1) -> DataFrame:
     """word, score: occurrences plus a seeded noise under 0.01 (a function of the word, so runs agree)."""
-    noise = F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(1_000_000)) / 1e8
-    return vocabulary(tf).select("word", (F.col("cf") + noise).alias("score"))
+    return vocabulary(tf).select("word", (F.col("cf") + uniform("word", seed=seed) / 100).alias("score"))

@@ -8,11 +8,29 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.lineage import cut
+
 TAGS = ("train", "test", "unlabeled", "untagged", "validation", "ignore", "pool", "waiting")
 
 
 def order_key(seed: int):
-    return F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
+    """A hash of doc_id and seed that other engines have too."""
+    return F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))))
+
+
+def lowest(pool: DataFrame, want: DataFrame, seed: int) -> DataFrame:
+    """The documents of pool (doc_id, class) with the lowest hashes, as many of each class as want (class, quota) says.
+
+    No class is ranked whole: counts by the hash's first 12 bits say which slice holds a class's last document, the slices
+    before it are taken, and that slice alone is ranked."""
+    rows = pool.select("doc_id", "class", order_key(seed).alias("hash")).withColumn("slice", F.conv(F.substring("hash", 1, 3), 16, 10).cast("int"))
+    by = Window.partitionBy("class").orderBy("slice")  # 4096 slices of a class
+    counts = rows.groupBy("class", "slice").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(by))
+    edges = counts.join(F.broadcast(want), "class").where(F.col("upto") - F.col("n") < F.col("quota")).select("class", "slice", (F.col("quota") - F.col("upto") + F.col("n")).alias("room"), (F.col("upto") <= F.col("quota")).alias("whole"))
+    near = rows.join(F.broadcast(edges), ["class", "slice"])
+    rank = F.row_number().over(Window.partitionBy("class", "slice").orderBy("hash", "doc_id"))
+    last = near.where("not whole").withColumn("k", rank).where(F.col("k") <= F.col("room"))
+    return near.where("whole").select("doc_id").unionByName(last.select("doc_id"))
 
 
 def retag(docs: DataFrame, old: str | None, new: str) -> DataFrame:
@@ -43,9 +61,11 @@ def quotas(docs: DataFrame, n: int) -> DataFrame:
 def tag_by_count(docs: DataFrame, n: int, tag: str, seed: int = 1, among: str = "untagged") -> DataFrame:
     """Tags n documents of `among`, classes in proportion."""
     pool = docs.where(F.col("tag") == among)
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(order_key(seed), "doc_id"))
-    chosen = pool.withColumn("k", rank).join(F.broadcast(quotas(pool, n)), "class").where(F.col("k") <= F.col("quota")).select("doc_id", F.lit(tag).alias("new"))
-    return docs.join(chosen, "doc_id", "left").withColumn("tag", F.coalesce("new", "tag")).drop("new")
+    return _tagged(docs, lowest(pool, quotas(pool, n), seed), tag)
+
+
+def _tagged(docs: DataFrame, chosen: DataFrame, tag: str) -> DataFrame:
+    return docs.join(chosen.select("doc_id", F.lit(tag).alias("new")), "doc_id", "left").withColumn("tag", F.coalesce("new", "tag")).drop("new")
 
 
 def tag_by_fraction(docs: DataFrame, share: float, tag: str, seed: int = 1, of_remaining: bool = False) -> DataFrame:
@@ -56,10 +76,9 @@ def tag_by_fraction(docs: DataFrame, share: float, tag: str, seed: int = 1, of_r
 
 def tag_per_class(docs: DataFrame, counts: int | dict[str, int], tag: str, seed: int = 1, among: str = "untagged") -> DataFrame:
     """Tags a number of documents of each class (one number, or one by class)."""
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(order_key(seed), "doc_id"))
     want = F.lit(counts) if isinstance(counts, int) else F.coalesce(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[F.col("class")], F.lit(0))
-    chosen = docs.where(F.col("tag") == among).withColumn("k", rank).where(F.col("k") <= want).select("doc_id", F.lit(tag).alias("new"))
-    return docs.join(chosen, "doc_id", "left").withColumn("tag", F.coalesce("new", "tag")).drop("new")
+    pool = docs.where(F.col("tag") == among)
+    return _tagged(docs, lowest(pool, pool.select("class").distinct().withColumn("quota", want), seed), tag)
 
 
 @dataclass(frozen=True)
@@ -99,6 +118,7 @@ def split(docs: DataFrame, specs: dict[str, str], seed: int = 1) -> DataFrame:
         for tag, spec in parsed:
             if not stage(spec):
                 continue
+            docs = cut(docs)  # each step reads its input several times
             if spec.kind == "files":
                 docs = tag_names(docs, spark.read.text(spec.value).withColumnRenamed("value", "name"), tag)
             elif spec.kind in ("per_class", "by_class"):

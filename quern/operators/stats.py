@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.corpus import Corpus
@@ -65,7 +65,7 @@ def dirichlet_fit(counts: DataFrame) -> DataFrame:
     p = counts.join(total, "doc_id").select("word", (F.col("n") / F.col("s")).alias("p"))
     m = p.groupBy("word").agg(F.sum("p").alias("a"), F.sum(F.col("p") * F.col("p")).alias("b")).crossJoin(F.broadcast(d)).select("word", (F.col("a") / F.col("d")).alias("m"), (F.col("b") / F.col("d") - F.pow(F.col("a") / F.col("d"), 2)).alias("v"))
     last = m.agg(F.max("word").alias("last"))
-    s = m.crossJoin(F.broadcast(last)).where("word != last").agg(F.exp(F.avg(F.log(F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).alias("s"))
+    s = m.crossJoin(F.broadcast(last)).where((F.col("word") != F.col("last")) & (F.col("m") * (1 - F.col("m")) / F.col("v") > 1)).agg(F.exp(F.avg(F.log(F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).alias("s"))
     return m.crossJoin(F.broadcast(s)).select("word", (F.col("s") * F.col("m")).alias("alpha"))
 
 
@@ -75,6 +75,24 @@ def log_evidence(counts: np.ndarray, alpha: np.ndarray) -> float:
     return float(math.lgamma(alpha.sum()) - math.lgamma(alpha.sum() + counts.sum()) + (lg(alpha + counts) - lg(alpha)).sum())
 
 
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function of positive numbers, by Stirling's series from x + 8 on."""
+    up = F.lit(0.0)
+    for k in range(8):
+        up = up + F.log(x + k)
+    y = x + 8
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - up
+
+
+def bag_evidence(bags: DataFrame, alphas: DataFrame) -> DataFrame:
+    """doc_id, class, log_evidence of bags (doc_id, word, n) under Dirichlets (class, word, alpha); words without an alpha are left out.
+
+    A word that a bag lacks adds nothing, so only cells that are there are joined."""
+    total = alphas.groupBy("class").agg(F.sum("alpha").alias("a"))
+    rows = bags.join(alphas, "word").groupBy("doc_id", "class").agg(F.sum("n").alias("n"), F.sum(log_gamma(F.col("alpha") + F.col("n")) - log_gamma(F.col("alpha"))).alias("s"))
+    return rows.join(F.broadcast(total), "class").select("doc_id", "class", (log_gamma(F.col("a")) - log_gamma(F.col("a") + F.col("n")) + F.col("s")).alias("log_evidence"))
+
+
 def kl_words(a: DataFrame, b: DataFrame, words: DataFrame, add: float = 0.0) -> DataFrame:
     """kl, half_js and squared loss of two word distributions (word, n) over words, each count plus `add`."""
     n = lambda df, name: df.select("word", F.col("n").alias(name))

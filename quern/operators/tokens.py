@@ -49,6 +49,7 @@ class PostProcess:
     toss_nonalpha: bool = False
     most_digits: int | None = None
     stop: bool = False
+    stem: bool = False  # only by tokens()
     shortest: int = SHORTEST
     longest: int = LONGEST
     mark: str | None = None  # words of two letters or more become xxx + word (only-words mode)
@@ -63,8 +64,22 @@ class PostProcess:
             words = F.filter(words, lambda w: F.length(F.regexp_replace(w, "[^0-9]", "")) <= self.most_digits)
         if self.stop:
             words = F.filter(words, lambda w: ~w.isin(*STOPWORDS))
-        words = F.filter(words, lambda w: F.length(w).between(self.shortest, self.longest))
-        return F.slice(words, 1, self.first_n) if self.first_n else words
+        if not self.stem:
+            words = F.filter(words, lambda w: F.length(w).between(self.shortest, self.longest))
+        return F.slice(words, 1, self.first_n) if self.first_n and not self.stem else words
+
+    def tokens(self, docs: DataFrame, words: Column, key: str = "doc_id") -> DataFrame:
+        """key, pos, word: the whole chain, with stemming and the second pass of stop words and lengths after it; positions count what is left."""
+        toks = tokens(docs, words=self.apply(words), keep=(key,))
+        if not self.stem:
+            return toks
+        from quern.functions.stem import with_stems
+
+        toks = with_stems(toks).select(key, "pos", F.col("stem").alias("word"))
+        toks = without_stopwords(toks) if self.stop else toks
+        toks = toks.where(F.length("word").between(self.shortest, self.longest))
+        left = toks.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1)
+        return left.where(F.col("pos") < self.first_n) if self.first_n else left
 
 
 def strip_html(html: Column) -> Column:
@@ -82,6 +97,14 @@ def until(text: Column, mark: str) -> Column:
     return F.substring_index(text, mark, 1)
 
 
+def text_grams(docs: DataFrame, n: int = 2, key: str = "doc_id", words: Column | None = None) -> DataFrame:
+    """key, pos, size, gram: at every position the n-gram, then each shorter gram down to the word, joined by ``;``; near the end of a
+    document, where a gram has no further word, the shorter one repeats. Grams are cut from a document's own array: nothing is shuffled."""
+    own = docs.select(key, (words if words is not None else words_of(F.col("text"))).alias("ws"))
+    at = F.transform(F.col("ws"), lambda w, k: F.transform(F.array(*[F.lit(m) for m in range(n, 0, -1)]), lambda m: F.struct(k.alias("pos"), m.alias("size"), F.array_join(F.slice(F.col("ws"), k + 1, m), ";").alias("gram"))))
+    return own.select(key, F.explode(F.flatten(at)).alias("g")).select(key, "g.pos", "g.size", "g.gram")
+
+
 def grams(toks: DataFrame, n: int = 2, key: str = "doc_id") -> DataFrame:
     """At every position the n-gram, then each shorter gram down to the word, joined by ``;``; near the end of a document, where
     a gram has no further word, the shorter one repeats."""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.lineage import cut
+from quern.functions.portable import uniform
 
 
 def nodes(leaves: DataFrame, path: str = "path") -> DataFrame:
@@ -44,6 +45,11 @@ def shrunk(words: DataFrame, anc: DataFrame, lambdas: DataFrame, v: DataFrame) -
     return mixed.join(F.broadcast(flat), "leaf").crossJoin(F.broadcast(v)).select("leaf", "word", (F.col("p") + F.col("u") / F.col("v")).alias("p"))
 
 
+def perturbed_words(words: DataFrame, v: DataFrame, share: float = 0.1, seed: int = 1) -> DataFrame:
+    """node, word, p with a share of it a seeded draw in (0, 1) over the vocabulary (v: one row)."""
+    return words.crossJoin(F.broadcast(v)).select("node", "word", ((1 - share) * F.col("p") + share * uniform("node", "word", seed=seed) / F.col("v")).alias("p"))
+
+
 def leaf_log_probs(tf: DataFrame, p: DataFrame, unseen: DataFrame) -> DataFrame:
     """doc_id, leaf, log_prob: sum of n ln P(w|leaf); unseen: leaf, p0 of words without a cell."""
     total = tf.groupBy("doc_id").agg(F.sum("n").alias("total"))
@@ -69,15 +75,37 @@ def perplexity(logs: DataFrame, priors: DataFrame) -> DataFrame:
     return per.agg(F.exp(-F.sum(F.col("m") + F.log("s")) / F.sum("total")).alias("perplexity"))
 
 
-def word_ratios(words: DataFrame, tree: DataFrame, top: int = 10) -> DataFrame:
-    """node, word, ratio = P(w|node) ln(P(w|node) / mean P(w|siblings)), the `top` of each node below the root."""
-    rows = words.join(F.broadcast(tree.where("depth > 0").select("node", "parent")), "node")
-    count = tree.where("depth > 0").groupBy("parent").agg(F.count("*").alias("k"))
-    mean = rows.groupBy("parent", "word").agg(F.sum("p").alias("s")).join(F.broadcast(count), "parent").select("parent", "word", (F.col("s") / F.col("k")).alias("mean"))
-    out = rows.join(mean, ["parent", "word"]).select("node", "word", F.round(F.col("p") * F.log(F.col("p") / F.col("mean")), 9).alias("ratio"))
+def word_ratios(words: DataFrame, tree: DataFrame, top: int = 10, against: str = "siblings") -> DataFrame:
+    """node, word, ratio of the `top` words of each node below the root (ties: the word).
+
+    siblings, leaves: P(w|node) ln(P(w|node) / q), q the mean over the other siblings or the other leaves (1 where q is 0); odds: ln of
+    the odds ratio to the other leaves' mean, where both odds are there; mean: P(w|leaf) over the mean of all leaves."""
+    if against == "siblings":
+        family = tree.where("depth > 0").select("node", F.col("parent").alias("family"))
+    else:
+        family = tree.join(tree.select(F.col("parent").alias("node")).distinct(), "node", "left_anti").select("node", F.lit("leaf").alias("family"))
+    rows = words.select("node", "word", "p").join(F.broadcast(family), "node")
+    count = family.groupBy("family").agg(F.count("*").alias("k"))
+    sums = rows.groupBy("family", "word").agg(F.sum("p").alias("s"), F.count("*").alias("holders"))
+    rows = rows.join(sums, ["family", "word"]).join(F.broadcast(count), "family")
+    p, q = F.col("p"), (F.col("s") - F.col("p")) / (F.col("k") - 1)
+    lone = F.col("holders") == 1  # no other has the word; a difference of sums needn't be 0
+    if against == "odds":
+        rows, ratio = rows.where(~lone & (p < 1)), F.log(p * (1 - q) / (q * (1 - p)))
+    elif against == "mean":
+        ratio = p * F.col("k") / F.col("s")
+    else:
+        ratio = F.when(lone, 1.0).otherwise(p * F.log(p / q))
+    out = rows.select("node", "word", F.round(ratio, 9).alias("ratio"))
     return out.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("ratio"), "word"))).where(F.col("k") <= top).drop("k")
 
 
+def keywords(words: DataFrame, tree: DataFrame, top: int = 5) -> DataFrame:
+    """node, words: the words of each node of the highest ratio to its siblings, as a line."""
+    best = word_ratios(words, tree, top)
+    return best.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "word"))), lambda x: x["word"]), " ").alias("words"))
+
+
 def children_divergence(words: DataFrame, tree: DataFrame) -> DataFrame:
     """parent, kl: mean over its children of the divergence from their mean distribution."""
     rows = words.join(F.broadcast(tree.where("depth > 0").select("node", "parent")), "node")
@@ -86,6 +114,66 @@ def children_divergence(words: DataFrame, tree: DataFrame) -> DataFrame:
     return rows.join(mean, ["parent", "word"]).join(F.broadcast(count), "parent").groupBy("parent").agg((F.sum(F.col("p") * F.log(F.col("p") * F.col("k") / F.col("s"))) / F.max("k")).alias("kl"))
 
 
+def weighted_divergence(words: DataFrame, tree: DataFrame) -> DataFrame:
+    """parent, kl, weighted: the children's divergence from their mean, and that times the words of the children."""
+    size = words.join(F.broadcast(tree.where("depth > 0").select("node", "parent")), "node").groupBy("parent").agg(F.sum("n").alias("size"))
+    return children_divergence(words, tree).join(size, "parent").select("parent", "kl", (F.col("kl") * F.col("size")).alias("weighted"))
+
+
+def pair_divergence(words: DataFrame, tree: DataFrame) -> DataFrame:
+    """a, b, kl, weighted of every two siblings a < b: the mean divergence of the two from their mean, and that times their words.
+
+    Where only one has a word, its part is p ln 2 / 2, so only shared words are joined."""
+    side = words.select("node", "word", "p").join(F.broadcast(tree.where("depth > 0").select("node", "parent")), "node")
+    left, right = side.select("parent", "word", F.col("node").alias("a"), F.col("p").alias("x")), side.select("parent", "word", F.col("node").alias("b"), F.col("p").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    shared = left.join(right, ["parent", "word"]).where("a < b").groupBy("a", "b").agg(F.sum(x * F.log(2 * x / (x + y)) + y * F.log(2 * y / (x + y)) - (x + y) * F.log(F.lit(2.0))).alias("s"))
+    size = words.groupBy("node").agg(F.sum("n").alias("size"), F.sum("p").alias("mass"))
+    kin = tree.where("depth > 0").select("node", "parent")
+    pairs = kin.withColumnRenamed("node", "a").join(kin.withColumnRenamed("node", "b"), "parent").where("a < b")  # siblings of a small tree
+    pairs = pairs.join(size.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("mass").alias("ma")), "a").join(size.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("mass").alias("mb")), "b")
+    kl = (F.coalesce("s", F.lit(0.0)) + (F.col("ma") + F.col("mb")) * F.log(F.lit(2.0))) / 2
+    return pairs.join(shared, ["a", "b"], "left").select("a", "b", kl.alias("kl"), (kl * (F.col("na") + F.col("nb"))).alias("weighted"))
+
+
+def node_log_probs(tf: DataFrame, words: DataFrame, v: DataFrame) -> DataFrame:
+    """doc_id, node, total, log_prob of documents under every node's own Laplace distribution (words: node, word, n; v: one row)."""
+    size = words.groupBy("node").agg(F.sum("n").alias("size")).crossJoin(F.broadcast(v))
+    unseen = size.select(F.col("node").alias("leaf"), (1 / (F.col("size") + F.col("v"))).alias("p0"))
+    p = words.join(F.broadcast(size), "node").select(F.col("node").alias("leaf"), "word", ((F.col("n") + 1) / (F.col("size") + F.col("v"))).alias("p"))
+    return leaf_log_probs(tf, p, unseen).withColumnRenamed("leaf", "node")
+
+
+def perplexities(logs: DataFrame, priors: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """One row: members (documents' log likelihoods weighted by their leaves' posteriors), unlabelled (ln prior + log likelihood of the
+    best leaf), and, with labels (doc_id, leaf), labelled (that of the own leaf); each as exp of minus the mean a word."""
+    w = Window.partitionBy("doc_id")
+    rows = logs.join(F.broadcast(priors), "leaf").withColumn("l", F.log("prior") + F.col("log_prob"))
+    rows = rows.withColumn("e", F.exp(F.col("l") - F.max("l").over(w))).withColumn("r", F.col("e") / F.sum("e").over(w))
+    if labels is not None:
+        rows = rows.join(labels.select("doc_id", F.col("leaf").alias("own")), "doc_id")
+    per = rows.groupBy("doc_id", "total").agg(F.sum(F.col("r") * F.col("log_prob")).alias("m"), F.max("l").alias("u"), F.max(F.when(F.col("leaf") == F.col("own"), F.col("l")) if labels is not None else F.lit(None).cast("double")).alias("k"))
+    one = lambda c: F.exp(-F.sum(c) / F.sum("total"))
+    return per.agg(one("m").alias("members"), one("u").alias("unlabelled"), one("k").alias("labelled"))
+
+
+def lambda_sweep(tf: DataFrame, words: DataFrame, leaves: DataFrame, labels: DataFrame, v: DataFrame, steps: int = 20) -> DataFrame:
+    """uniform, accuracy, perplexity (labelled) of documents (doc_id, word, n) whose leaf (labels: doc_id, leaf) is known, with the
+    uniform distribution's share at each of `steps` steps up to 1 and the rest the leaf's own (leaves: leaf, prior).
+
+    All steps are scored in one pass: a seen cell's gain depends on the step, what a document's words give unseen doesn't need a join."""
+    share = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")
+    own = words.join(F.broadcast(leaves.select(F.col("leaf").alias("node"))), "node", "left_semi").select(F.col("node").alias("leaf"), "word", "p")
+    cells = tf.join(own, "word").crossJoin(F.broadcast(v)).select("doc_id", "leaf", "n", "p", "v", share)
+    u = F.col("step") / steps
+    gain = cells.groupBy("doc_id", "leaf", "step").agg(F.sum(F.col("n") * F.log(((1 - u) * F.col("p") + u / F.col("v")) * F.col("v") / u)).alias("gain"))
+    total = tf.groupBy("doc_id").agg(F.sum("n").alias("total"))
+    grid = total.crossJoin(F.broadcast(leaves.crossJoin(F.broadcast(v)).select("leaf", "prior", "v", share)))  # leaves times steps, few
+    rows = grid.join(gain, ["doc_id", "leaf", "step"], "left").withColumn("l", F.log("prior") + F.col("total") * F.log(u / F.col("v")) + F.coalesce("gain", F.lit(0.0)))
+    best = rows.join(labels.select("doc_id", F.col("leaf").alias("own")), "doc_id").groupBy("doc_id", "step", "own", "total").agg(F.min(F.struct((-F.round("l", 6)).alias("cost"), "leaf")).alias("top"), F.max(F.when(F.col("leaf") == F.col("own"), F.col("l"))).alias("l"))
+    return best.groupBy("step").agg(F.avg((F.col("top.leaf") == F.col("own")).cast("int")).alias("accuracy"), F.exp(-F.sum("l") / F.sum("total")).alias("perplexity")).select((F.col("step") / steps).alias("uniform"), "accuracy", "perplexity")
+
+
 def fienberg(words: DataFrame, tree: DataFrame, v: DataFrame) -> DataFrame:
     """node, own: closed-form weight (t/n) / ((t/n) + B) of a node against its parent's distribution u, where t = V, n is the
     node's words and B = sum (u - p)^2 / (p (1 - p)) over the node's words; the root's weight is against the uniform."""
@@ -98,11 +186,11 @@ def fienberg(words: DataFrame, tree: DataFrame, v: DataFrame) -> DataFrame:
     return b.join(size, "node").crossJoin(F.broadcast(v)).select("node", (tn / (tn + F.col("b"))).alias("own"))
 
 
-def em_step(tf: DataFrame, anc: DataFrame, priors: DataFrame, lambdas: DataFrame, words: DataFrame, v: int, temper: float = 1.0, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def em_step(tf: DataFrame, anc: DataFrame, priors: DataFrame, lambdas: DataFrame, words: DataFrame, v: int, temper: float = 1.0, labels: DataFrame | None = None, validation: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One iteration over leaves (horizontal) and ancestors (vertical): new priors, lambdas and node words.
 
     tf: doc_id, word, n; priors: leaf, prior; lambdas: leaf, level, lambda (-1: uniform); words: node, word, p; labels: doc_id,
-    leaf of documents that stay where they are."""
+    leaf of documents that stay where they are; validation: doc_id of documents that set the lambdas and nothing else."""
     flat = lambdas.where("level = -1").select("leaf", F.col("lambda").alias("u"))
     up = anc.join(lambdas.where("level >= 0"), ["leaf", "level"])
     cells = cut(words.join(F.broadcast(up), "node").select("leaf", "node", "level", "word", (F.col("p") * F.col("lambda")).alias("part")))
@@ -116,11 +204,17 @@ def em_step(tf: DataFrame, anc: DataFrame, priors: DataFrame, lambdas: DataFrame
         free = post.join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
         post = free.unionByName(labels.select("doc_id", "leaf", F.lit(1.0).alias("r")))
     post = cut(post.where("r > 1e-9"))
-    mass = cut(tf.join(post, "doc_id").groupBy("leaf", "word").agg(F.sum(F.col("n") * F.col("r")).alias("m")))
-    shares = mass.join(mixed.select("leaf", "word", "p"), ["leaf", "word"]).join(cells, ["leaf", "word"]).select("leaf", "node", "level", "word", (F.col("m") * F.col("part") / F.col("p")).alias("m"))
-    shares = cut(shares)
+    held = post.join(validation.select("doc_id"), "doc_id", "left_semi") if validation is not None else post
+    post = post.join(validation.select("doc_id"), "doc_id", "left_anti") if validation is not None else post
+    gathered = lambda r: cut(tf.join(r, "doc_id").groupBy("leaf", "word").agg(F.sum(F.col("n") * F.col("r")).alias("m")))
+    shared = lambda m: cut(m.join(mixed.select("leaf", "word", "p"), ["leaf", "word"]).join(cells, ["leaf", "word"]).select("leaf", "node", "level", "word", (F.col("m") * F.col("part") / F.col("p")).alias("m")))
+    mass = gathered(post)
+    shares = shared(mass)
     new_words = shares.groupBy("node", "word").agg(F.sum("m").alias("m"))
     new_words = new_words.select("node", "word", (F.col("m") / F.sum("m").over(Window.partitionBy("node"))).alias("p")).where("p > 0")
+    if validation is not None:
+        mass = gathered(held)
+        shares = shared(mass)
     level = shares.groupBy("leaf", "level").agg(F.sum("m").alias("m"))
     whole = mass.groupBy("leaf").agg(F.sum("m").alias("all"))
     rest = whole.join(level.groupBy("leaf").agg(F.sum("m").alias("s")), "leaf").select("leaf", F.lit(-1).alias("level"), F.greatest(F.col("all") - F.col("s"), F.lit(0.0)).alias("m"))
@@ -133,64 +227,172 @@ def em_step(tf: DataFrame, anc: DataFrame, priors: DataFrame, lambdas: DataFrame
     return cut(new_priors), cut(new_lambdas), cut(new_words)
 
 
-def cluster(tf: DataFrame, leaves: list[str], rounds: int = 4, start_temper: float = 4.0, cooling: float = 0.5, noise: float = 0.2) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Priors, lambdas and node words of leaves found by annealed EM from the corpus distribution, perturbed by a seeded hash."""
+def _log_rows(tf: DataFrame, anc: DataFrame, lambdas: DataFrame, words: DataFrame, v: int) -> DataFrame:
+    """doc_id, leaf, total, log_prob of documents under shrunk leaves."""
+    one = tf.sparkSession.createDataFrame([(v,)], "v long")
+    unseen = lambdas.where("level = -1").select("leaf", F.greatest(F.col("lambda") / v, F.lit(1e-12)).alias("p0"))
+    return leaf_log_probs(tf, shrunk(words, anc, lambdas, one), unseen)
+
+
+def cluster(tf: DataFrame, branching: int = 2, start_temper: float = 100.0, end_temper: float = 1.0, decay: float = 0.9, settle: float = 2.0, most_rounds: int = 1000, split_kl: float = 0.4, most_depth: int = 6, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Priors, lambdas and node words of a hierarchy that grows from the corpus by annealed EM.
+
+    At each temperature EM goes on until the perplexity changes by `settle` or less; then the leaves under a node whose children
+    diverge by more than split_kl (nats) get children of their own, while the tree is less than most_depth deep, words are
+    perturbed by a tenth, and it cools by `decay`. most_rounds bounds the iterations in all."""
     spark = tf.sparkSession
-    paths = spark.createDataFrame([(p,) for p in leaves], "path string")
-    anc = ancestors(paths)
-    whole = tf.groupBy("word").agg(F.sum("n").alias("n"))
-    v = whole.count()
-    names = anc.select("node").distinct()
-    jitter = F.pmod(F.xxhash64("node", "word"), F.lit(1000)) / 1000
-    raw = names.crossJoin(whole).select("node", "word", (F.col("n") * ((1 - noise) + 2 * noise * jitter)).alias("m"))  # few nodes
-    words = cut(raw.select("node", "word", (F.col("m") / F.sum("m").over(Window.partitionBy("node"))).alias("p")))
-    depth = anc.groupBy("leaf").agg((F.max("level") + 2).alias("k"))
-    lambdas = anc.select("leaf", "level").unionByName(paths.select(F.col("path").alias("leaf"), F.lit(-1).alias("level"))).join(depth, "leaf").select("leaf", "level", (1 / F.col("k")).alias("lambda"))
-    priors = paths.select(F.col("path").alias("leaf"), F.lit(1 / len(leaves)).alias("prior"))
-    temper = start_temper
-    for _ in range(rounds):
-        priors, lambdas, words = em_step(tf, anc, priors, lambdas, words, v, temper)
-        temper = max(1.0, temper * cooling)
+    whole = cut(tf.groupBy("word").agg(F.sum("n").alias("n")))
+    v, one = whole.count(), whole.agg(F.count("*").alias("v"))
+    leaves = [str(k) for k in range(branching)]
+
+    def copies(words: DataFrame, made: list[tuple[str, str]], salt: int) -> DataFrame:
+        """Words of new nodes: those of the nodes they come from, perturbed."""
+        new = words.join(F.broadcast(spark.createDataFrame(made, "node string, child string")), "node").select(F.col("child").alias("node"), "word", "p")
+        return perturbed_words(new, one, seed=seed * 1000 + salt)
+
+    root = whole.select(F.lit("").alias("node"), "word", ((F.col("n") + 1 / v) / F.sum(F.col("n") + 1 / v).over(Window.partitionBy())).alias("p"))
+    words = cut(root.unionByName(copies(root, [("", x) for x in leaves], 0)))
+    depth = {x: 1 for x in leaves}
+    lambdas = spark.createDataFrame([(x, k, 1 / 3) for x in leaves for k in (0, 1, -1)], "leaf string, level int, lambda double")
+    priors = spark.createDataFrame([(x, 1 / len(leaves)) for x in leaves], "leaf string, prior double")
+    temper, done = start_temper, 0
+    while temper >= end_temper and done < most_rounds:
+        old, now = 0.0, float("inf")
+        anc = ancestors(spark.createDataFrame([(x,) for x in leaves], "path string"))
+        while abs(old - now) > settle and done < most_rounds:
+            priors, lambdas, words = em_step(tf, anc, priors, lambdas, words, v, temper)
+            old, now = now, perplexities(_log_rows(tf, anc, lambdas, words, v), priors).first()["members"]
+            done += 1
+        own = words.withColumn("n", F.lit(0.0))
+        apart = {r["parent"] for r in children_divergence(own, nodes(spark.createDataFrame([(x,) for x in leaves], "path string"))).collect() if r["kl"] > split_kl}  # a row a node
+        split = [x for x in leaves if x.rpartition("/")[0] in apart and depth[x] < most_depth and done < most_rounds]
+        if split:
+            made = [(x, f"{x}/{k}") for x in split for k in range(branching)]
+            words = cut(words.unionByName(copies(words, made, done)))
+            p = {r["leaf"]: r["prior"] for r in priors.collect()}
+            lam: dict[str, dict[int, float]] = {}
+            for r in lambdas.collect():
+                lam.setdefault(r["leaf"], {})[r["level"]] = r["lambda"]
+            for x, child in made:  # half of the parent's own share goes to the child
+                up = lam[x]
+                lam[child] = {0: up[0] / 2, 1: up[0] / 2, -1: up[-1], **{k + 1: y for k, y in up.items() if k > 0}}
+                p[child], depth[child] = p[x] / branching, depth[x] + 1
+            leaves = [x for x in leaves if x not in split] + [c for _, c in made]
+            priors = spark.createDataFrame([(x, float(p[x])) for x in leaves], "leaf string, prior double")
+            lambdas = spark.createDataFrame([(x, k, float(y)) for x in leaves for k, y in lam[x].items()], "leaf string, level int, lambda double")
+        mixed = perturbed_words(words, one, seed=seed * 1000 + 500 + done)
+        words = cut(mixed.select("node", "word", (F.col("p") / F.sum("p").over(Window.partitionBy("node"))).alias("p")))
+        temper *= decay
     return priors, lambdas, words
 
 
+def full_em(tf: DataFrame, anc: DataFrame, priors: DataFrame, lambdas: DataFrame, words: DataFrame, v: int, labels: DataFrame, rounds: int = 7, incremental: int | None = 20, validation: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Priors, lambdas, node words and labels after `rounds` of EM with labelled documents (doc_id, leaf).
+
+    incremental: after every other round the likeliest unlabelled documents of each leaf, its prior's share of 1/incremental of all of
+    them (one at least), get its label. validation: see em_step."""
+    free = tf.select("doc_id").distinct().join(labels.select("doc_id"), "doc_id", "left_anti").count()
+    for k in range(rounds):
+        priors, lambdas, words = em_step(tf, anc, priors, lambdas, words, v, labels=labels, validation=validation)
+        if incremental and k % 2 == 0:
+            rest = tf.join(labels.select("doc_id"), "doc_id", "left_anti")
+            if validation is not None:
+                rest = rest.join(validation.select("doc_id"), "doc_id", "left_anti")
+            scores = classify(_log_rows(rest, anc, lambdas, words, v), priors).withColumn("score", F.round("score", 6))
+            best = scores.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("cost"), "leaf")).alias("top")).select("doc_id", F.col("top.leaf").alias("leaf"), F.col("top.cost").alias("cost"))
+            want = F.greatest(F.lit(1), F.floor(F.col("prior") * (free // incremental)))
+            ranked = best.withColumn("k", F.row_number().over(Window.partitionBy("leaf").orderBy("cost", "doc_id"))).join(F.broadcast(priors), "leaf")
+            labels = cut(labels.select("doc_id", "leaf").unionByName(ranked.where(F.col("k") <= want).select("doc_id", "leaf")))
+    return priors, lambdas, words, labels
+
+
 def label_sets(docs: DataFrame, column: str = "classes") -> DataFrame:
     """set_key, n_docs, prior of the label sets in use."""
     sets = docs.select(F.array_join(F.array_sort(column), "|").alias("set_key")).groupBy("set_key").agg(F.count("*").alias("n_docs"))
     return sets.withColumn("prior", F.col("n_docs") / F.sum("n_docs").over(Window.partitionBy()))
 
 
-def greedy_labels(tf: DataFrame, model: dict[str, dict[str, float]], most: int = 3, floor: float = 1e-6, penalty: float = 2.0) -> DataFrame:
-    """doc_id, classes, score: labels added one by one while sum n ln mean P(w|labels) gains more than `penalty` times ln(N + 1).
-
-    model: P(w|class), bounded by the vocabulary of the training classes it was collected from."""
-    names = sorted(model)
-    index = {w: k for k, w in enumerate(sorted({w for m in model.values() for w in m}))}
-    table = np.full((len(names), len(index) + 1), floor)
-    for r, c in enumerate(names):
-        for w, p in model[c].items():
-            table[r, index[w]] = max(p, floor)
-    bags = tf.groupBy("doc_id").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("counts"))
+def mixture_em(tf: DataFrame, sets: DataFrame, rounds: int = 20, close: float = 1e-4, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(weights, words): set_key, class, weight of the mixture of each label set, and class, word, p, by EM over documents whose sets are
+    known (sets: doc_id, classes); a word of a document comes from one of its set's classes. Stops when no weight moves by more than close."""
+    docs = cut(sets.select("doc_id", F.array_join(F.array_sort("classes"), "|").alias("set_key"), F.explode("classes").alias("class")))
+    cells = cut(tf.join(docs.select("doc_id", "set_key").distinct(), "doc_id").groupBy("set_key", "word").agg(F.sum("n").alias("n")))
+    v = cells.agg(F.count_distinct("word").alias("v")).first()["v"]
+    members = docs.select("set_key", "class").distinct()
+    size = members.groupBy("set_key").agg(F.count("*").alias("k"))
+    weights = cut(members.join(size, "set_key").select("set_key", "class", (1 / F.col("k")).alias("weight")))
+    mass = cells.join(weights, "set_key").groupBy("class", "word").agg(F.sum(F.col("n") * F.col("weight")).alias("m"))
+    by = Window.partitionBy("class")
+    smooth = lambda m: m.select("class", "word", ((F.col("m") + alpha) / (F.sum("m").over(by) + alpha * v)).alias("p"))
+    words = cut(smooth(mass))
+    for _ in range(rounds):
+        part = cells.join(weights, "set_key").join(words, ["class", "word"]).withColumn("q", F.col("weight") * F.col("p"))
+        own = Window.partitionBy("set_key", "word")
+        part = cut(part.select("set_key", "class", "word", (F.col("n") * F.col("q") / F.sum("q").over(own)).alias("m")))
+        per = part.groupBy("set_key", "class").agg(F.sum("m").alias("m"))
+        new = cut(per.select("set_key", "class", (F.col("m") / F.sum("m").over(Window.partitionBy("set_key"))).alias("weight")))
+        words = cut(smooth(part.groupBy("class", "word").agg(F.sum("m").alias("m"))))
+        moved = new.join(weights.withColumnRenamed("weight", "old"), ["set_key", "class"]).agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
+        weights = new
+        if moved is None or moved <= close:
+            break
+    return weights, words
+
+
+def search_labels(tf: DataFrame, words: DataFrame, how: str = "greedy0", penalty: float = 2.0, floor: float = 1e-6, most: int = 20) -> DataFrame:
+    """doc_id, classes, score: the label set with the best sum n ln mean P(w|labels) - penalty (labels - 1) ln(N + 1) that a search finds.
+
+    greedy0: labels are added in the order of their own scores while the score rises; greedy1: each time the label whose mixture with those
+    chosen is best; greedy2: as greedy1, and after each addition labels whose loss raises the score go. words: class, word, p; only a
+    document's own cells (its words times the classes) come together. most: the largest set."""
+    names = sorted(r["class"] for r in words.select("class").distinct().collect())  # a row a class
+    index = F.create_map(*[F.lit(x) for k, c in enumerate(names) for x in (c, k)])
+    cells = words.select("word", F.struct(index[F.col("class")].alias("c"), "p").alias("s")).groupBy("word").agg(F.collect_list("s").alias("ps"))  # a class each
+    bags = tf.join(cells, "word", "left").groupBy("doc_id").agg(F.collect_list(F.struct("word", "n", "ps")).alias("bag"))
+
+    def best_set(n: np.ndarray, p: np.ndarray) -> tuple[list[int], float]:
+        cost = penalty * np.log(n.sum() + 1)
+        value = lambda own: float(n @ np.log(p[:, own].mean(1))) - cost * (len(own) - 1)
+        alone = [value([k]) for k in range(len(names))]
+        order = sorted(range(len(names)), key=lambda k: (-round(alone[k], 9), k))
+        own, score = [order[0]], alone[order[0]]
+        while len(own) < min(most, len(names)):
+            left = [k for k in order if k not in own]
+            if how == "greedy0":
+                left = left[:1]
+            new, k = max((round(value([*own, k]), 9), -k) for k in left)
+            if new <= round(score, 9):
+                break
+            own, score = [*own, -k], new
+            while how == "greedy2" and len(own) > 1:
+                less, gone = max((round(value([x for x in own if x != k]), 9), -k) for k in own)
+                if less <= round(score, 9):
+                    break
+                own, score = [x for x in own if x != -gone], less
+        return own, score
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for doc_id, words, counts in zip(part["doc_id"], part["words"], part["counts"]):
-                at = np.array([index.get(w, len(index)) for w in words])
-                n = np.asarray(counts, float)
-                own, best = [], -np.inf
-                for _ in range(min(most, len(names))):
-                    tries = [(float(n @ np.log(table[[*own, k]][:, at].mean(0))), -k) for k in range(len(names)) if k not in own]
-                    score, k = max(tries)
-                    if own and score - best <= penalty * np.log(n.sum() + 1):
-                        break
-                    own, best = [*own, -k], score
-                rows.append((doc_id, "|".join(names[k] for k in sorted(own)), best))
+            for doc_id, bag in zip(part["doc_id"], part["bag"]):
+                bag = sorted(bag, key=lambda x: x["word"])
+                p = np.full((len(bag), len(names)), floor)
+                for r, cell in enumerate(bag):
+                    for x in cell["ps"] if cell["ps"] is not None else ():
+                        p[r, x["c"]] = max(x["p"], floor)
+                own, score = best_set(np.array([x["n"] for x in bag], float), p)
+                rows.append((doc_id, "|".join(names[k] for k in sorted(own)), score))
             yield pd.DataFrame(rows, columns=["doc_id", "classes", "score"])
 
     return bags.mapInPandas(run, "doc_id long, classes string, score double")
 
 
+def greedy_labels(tf: DataFrame, model: dict[str, dict[str, float]], most: int = 20, floor: float = 1e-6, penalty: float = 2.0) -> DataFrame:
+    """search_labels() by mixtures (greedy1), with a model given as P(w|class) by class and word."""
+    words = tf.sparkSession.createDataFrame([(c, w, float(p)) for c, ps in sorted(model.items()) for w, p in ps.items()], "class string, word string, p double")
+    return search_labels(tf, words, "greedy1", penalty, floor, most)
+
+
 def exhaustive_labels(counts: dict[str, int], model: dict[str, dict[str, float]], most: int = 2, floor: float = 1e-6) -> tuple[str, ...]:
     """The best label set of one document by trying all sets (for tests of the greedy search)."""
     def score(names: tuple[str, ...]) -> float:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.lineage import spread
 from quern.operators.corpus import Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,12 +29,12 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def corpus(spark: SparkSession, sf_dir: str, label: str = "lang") -> Corpus:
+def corpus(spark: SparkSession, sf_dir: str, label: str = "lang", keep: bool = True) -> Corpus:
     """documents as a corpus: a class column, and doc_id % 10 < 7 for training."""
-    return Corpus.of(table(spark, sf_dir), F.col(label))
+    return Corpus.of(table(spark, sf_dir), F.col(label), keep=keep)
 
 
 def r6(c: Column | str) -> Column:

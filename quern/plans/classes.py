@@ -9,7 +9,7 @@ from quern.operators import evaluate as E
 from quern.operators import retrieve as R
 from quern.operators import setops as U
 from quern.operators import weight as W
-from quern.operators.stats import dirichlet_fit, frequency_of_frequencies, good_turing, kl_words
+from quern.operators.stats import bag_evidence, dirichlet_fit, frequency_of_frequencies, good_turing, kl_words
 from quern.operators.tokens import tokens
 from quern.plans.catalogue import CLASSES, DOCS, TF, TOK, corpus, query, r6, softmax_sql, table
 from quern.plans.text import _IDF, _POST
@@ -48,9 +48,14 @@ def m4(spark, sf):
     return frequency_of_frequencies(corpus(spark, sf), 8)
 
 
-@query("M4_good_turing")
+@query(
+    "M4_good_turing",
+    f"with {CLASSES}, f as (select class, n as r, count(*) as w from ctf where n <= 100 group by 1, 2), q as (select *, coalesce(lag(r) over p, 0) as q, lead(r) over p as t from f window p as (partition by class order by r)), z as (select class, r, w, 2 * w / (coalesce(t, 2 * r - q) - q) as z from q), "
+    "ln_ as (select class, regr_slope(ln(z), ln(r)) as slope, sum(w) filter (r = 1) / sum(r * w) as p0 from z group by 1), g as (select class, slope, p0, r from ln_, range(1, 8) x(r)), x as (select g.class, g.r, p0, (g.r + 1) * exp(slope * ln((g.r + 1) / g.r)) as y, (g.r + 1) * b.w / a.w as x, sqrt(power(g.r + 1, 2) * b.w / power(a.w, 2) * (1 + b.w / a.w)) as sd from g left join f a on a.class = g.class and a.r = g.r left join f b on b.class = g.class and b.r = g.r + 1), "
+    "s as (select *, sum(case when x is null or abs(x - y) <= 1.96 * sd then 1 else 0 end) over (partition by class order by r) as smooth from x) select class, r::int as r, round(case when smooth > 0 then y else x end / r, 6) + 0 as discount, round(p0, 6) + 0 as p0 from s",
+)
 def m4g(spark, sf):
-    return good_turing(corpus(spark, sf))
+    return good_turing(corpus(spark, sf)).select("class", "r", r6("discount").alias("discount"), r6("p0").alias("p0"))
 
 
 @query(
@@ -157,19 +162,27 @@ def c8(spark, sf):
     return K.nearest(corpus(spark, sf)).withColumn("score", r6("score"))
 
 
-@query("C11_kernels", "with e as (select vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings), q as (select * from e where vec_id % 100 = 0), dots as (select q.vec_id as a, e.vec_id as b, sum(q.x * e.x) as dot from q join e using (i) group by 1, 2), nn as (select vec_id, sum(x * x) as nn from e group by 1) select a, b, round(dot, 6) + 0 as linear, round((dot + 1) * (dot + 1), 6) + 0 as poly, round(exp(-(x.nn + y.nn - 2 * dot)), 6) + 0 as rbf from dots join nn x on x.vec_id = a join nn y on y.vec_id = b")
+@query("C11_kernels", "with e as (select vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings), q as (select * from e where vec_id % 100 = 0), dots as (select q.vec_id as a, e.vec_id as b, sum(q.x * e.x) as dot from q join e using (i) group by 1, 2), nn as (select vec_id, sum(x * x) as nn from e group by 1) select a, b, round(dot, 6) + 0 as linear, round((dot + 1) * (dot + 1), 6) + 0 as poly, round(exp(-(x.nn + y.nn - 2 * dot)), 6) + 0 as rbf, round(1 - 2 / (exp(2 * dot) + 1), 6) + 0 as sigmoid from dots join nn x on x.vec_id = a join nn y on y.vec_id = b")
 def c11(spark, sf):
     from quern.operators.svm import kernel_matrix
 
     e = table(spark, sf, "embeddings")
-    return kernel_matrix(e.where("vec_id % 100 = 0"), e).select("a", "b", *[r6(k).alias(k) for k in ("linear", "poly", "rbf")])
+    return kernel_matrix(e.where("vec_id % 100 = 0"), e).select("a", "b", *[r6(k).alias(k) for k in ("linear", "poly", "rbf", "sigmoid")])
 
 
-@query("C23_dirichlet_fit", f"with {TF}, top as (select word from tf group by 1 order by sum(n) desc, word limit 20), x as (select doc_id, word, n from tf semi join top using (word)), s as (select doc_id, sum(n) as s from x group by 1), p as (select s.doc_id, top.word, coalesce(x.n, 0) / s as p from s cross join top left join x on x.doc_id = s.doc_id and x.word = top.word), m as (select word, avg(p) as m, var_pop(p) as v from p group by 1), c as (select exp(avg(ln(m * (1 - m) / v - 1))) as s from (select *, row_number() over (order by word) as k, count(*) over () as j from m) where k < j) select word, round(s * m, 6) + 0 as alpha from m, c")
+@query("C23_dirichlet_fit", f"with {TF}, s as (select doc_id, sum(n) as s from tf group by 1), d as (select count(*) as d from s), p as (select word, n / s as p from tf join s using (doc_id)), m as (select word, sum(p) / d as m, sum(p * p) / d - power(sum(p) / d, 2) as v from p, d group by word, d), c as (select exp(avg(ln(m * (1 - m) / v - 1))) as s from (select *, max(word) over () as last from m) where word <> last and m * (1 - m) / v > 1) select word, round(s * m, 6) + 0 as alpha from m, c")
 def c23(spark, sf):
-    tf = corpus(spark, sf).tf
-    words = tf.groupBy("word").agg(F.sum("n").alias("cf")).orderBy(F.desc("cf"), "word").limit(20).select("word")
-    return dirichlet_fit(tf.join(F.broadcast(words), "word")).withColumn("alpha", r6("alpha"))
+    return dirichlet_fit(corpus(spark, sf).tf).withColumn("alpha", r6("alpha"))
+
+
+@query(
+    "C23_classify_bags",
+    f"with {CLASSES}, al as (select class, word, 0.01 + 100.0 * n / word_count as alpha from ctf join cs using (class)), sa as (select class, sum(alpha) as a from al group by 1), ev as (select k.doc_id, al.class, lgamma(any_value(a)) - lgamma(any_value(a) + sum(k.n)) + sum(lgamma(alpha + k.n) - lgamma(alpha)) as e from known k join al using (word) join sa on sa.class = al.class group by 1, 2) select doc_id, class, round(e, 4) + 0 as log_evidence from ev",
+)
+def c23b(spark, sf):
+    c = corpus(spark, sf)
+    alphas = c.class_tf.join(F.broadcast(c.class_stats.select("class", "word_count")), "class").select("class", "word", (0.01 + 100.0 * F.col("n") / F.col("word_count")).alias("alpha"))
+    return bag_evidence(K._known(c, "test"), alphas).select("doc_id", "class", (F.round("log_evidence", 4) + F.lit(0.0)).alias("log_evidence"))
 
 
 @query("C24_kl_words", f"with {CLASSES}, p as (select word, (sum(n) filter (class = 'en') + 0.5) as a, (sum(n) filter (class = 'fr') + 0.5) as b from ctf group by 1), q as (select word, coalesce(a, 0.5) as a, coalesce(b, 0.5) as b from p), r as (select a / sum(a) over () as p, b / sum(b) over () as q from q) select round(sum(p * ln(p / q)), 6) as kl, round(sum(0.5 * p * ln(p / ((p + q) / 2))), 6) as half_js from r")
@@ -199,11 +212,53 @@ def e7(spark, sf):
     return E.predictions(_scores(c), c.docs).drop("trial")
 
 
-@query("E8_accuracy", f"with {DOCS}, {_PRED}, t as (select doc_id % 10 as trial, 100 * avg((actual = predicted)::int) as a from pred group by 1) select count(*) as trials, round(avg(a), 6) as mean, round(stddev_pop(a) / sqrt(count(*)), 6) as stderr from t")
-def e8(spark, sf):
+TRIALS = 3
+
+
+def _trial_sql(k: int) -> str:
+    """Scores of one trial: the test documents are a share of each class by md5, words of one training document are left out."""
+    tags = (
+        f"rk as (select doc_id, lang as class, row_number() over (partition by lang order by md5(doc_id::varchar || ':{k}'), doc_id) as k, count(*) over (partition by lang) as size, count(*) over () as alln from documents), "
+        "cl as (select class, any_value(size) as size, any_value(alln) as alln from rk group by 1), qb as (select class, size, floor(size * floor(alln * 0.3 + 0.5) / alln) as base, floor(alln * 0.3 + 0.5) as want from cl), "
+        "qs as (select *, sum((base < size)::int) over (order by class) as kk, want - sum(base) over () as spare from qb), qt as (select class, base + case when base < size and kk <= spare then 1 else 0 end as quota from qs), "
+        "docs as (select doc_id, class, case when k <= quota then 'test' else 'train' end as tag from rk join qt using (class))"
+    )
+    sql = _nb(*_LAP).replace(DOCS, tags).replace("lower(x)) as ws from docs)", "lower(x)) as ws from docs join documents using (doc_id))")
+    return sql.replace(", tf as (select doc_id, class, tag, word, count(*) as n from tok group by all)", ", tf0 as (select doc_id, class, tag, word, count(*) as n from tok group by all), tf as (select * from tf0 where word in (select word from tf0 where tag = 'train' group by 1 having count(*) >= 2))")
+
+
+_TRIALS = "sc as (" + " union all ".join(f"select {k} as trial, * from ({_trial_sql(k)})" for k in range(TRIALS)) + "), rk as (select *, row_number() over (partition by trial, doc_id order by score desc, class) as rank from sc), pred as (select trial, doc_id, lang as actual, rk.class as predicted, score from rk join documents using (doc_id) where rank = 1)"
+
+
+def _trials(spark, sf):
+    from quern.operators.trials import trials
+
     c = corpus(spark, sf)
-    preds = E.predictions(_scores(c), c.docs).withColumn("trial", F.col("doc_id") % 10)
-    return E.accuracy_summary(preds).select("trials", F.round("mean", 6).alias("mean"), F.round("stderr", 6).alias("stderr"))
+    return c, trials(c, TRIALS)
+
+
+@query("E7_trials", f"with {_TRIALS} select trial, doc_id, actual, predicted, score from pred")
+def e7t(spark, sf):
+    from quern.operators.trials import trial_predictions
+
+    c, scored = _trials(spark, sf)
+    return trial_predictions(scored, c.docs)
+
+
+@query("E7_trial_lines", f"with {_TRIALS} select distinct trial, (-1)::bigint as number, '#' || trial as line from sc union all select trial, doc_id, doc_id || ' ' || any_value(lang) || ' ' || string_agg(rk.class || ':' || printf('%.6f', score), ' ' order by rank) from rk join documents using (doc_id) group by 1, 2")
+def e7l(spark, sf):
+    from quern.operators.trials import trial_lines
+
+    c, scored = _trials(spark, sf)
+    return trial_lines(scored, c.docs)
+
+
+@query("E8_accuracy", f"with {_TRIALS}, t as (select trial, 100 * avg((actual = predicted)::int) as a from pred group by 1) select count(*) as trials, round(avg(a), 6) as mean, round(stddev_pop(a) / sqrt(count(*)), 6) as stderr from t")
+def e8(spark, sf):
+    from quern.operators.trials import trial_predictions
+
+    c, scored = _trials(spark, sf)
+    return E.accuracy_summary(trial_predictions(scored, c.docs)).select("trials", F.round("mean", 6).alias("mean"), F.round("stderr", 6).alias("stderr"))
 
 
 @query("E8_confusion", f"with {DOCS}, {_PRED} select actual, predicted, count(*) as n from pred group by 1, 2")
@@ -260,10 +315,10 @@ def e2(spark, sf):
     return E.odds_ratio(corpus(spark, sf), 20)
 
 
-@query("E3_word_probabilities", f"with {CLASSES} select word, n, round((n + 1) / (word_count + v), 9) as p from ctf join cs using (class), v where class = 'de'")
+@query("E3_word_probabilities", f"with {CLASSES} select class, word, n, round((n + 1) / (word_count + v), 9) as p from ctf join cs using (class), v")
 def e3(spark, sf):
     c = corpus(spark, sf)
-    return K.smoothed(c)[0].join(c.class_tf.select("class", "word", "n"), ["class", "word"]).where("class = 'de'").select("word", "n", F.round("p", 9).alias("p"))
+    return K.smoothed(c)[0].join(c.class_tf.select("class", "word", "n"), ["class", "word"]).select("class", "word", "n", F.round("p", 9).alias("p"))
 
 
 @query("E5_word_in_classes", f"with {CLASSES} select cs.class, coalesce(c.n, 0) as n, word_count, round(coalesce(c.n, 0) / word_count, 9) as share from cs left join (select * from ctf where word = 'la') c using (class)")
@@ -355,9 +410,9 @@ def r11(spark, sf):
     return R.term_hits(R.postings(kept), ("eren",)).select("doc_id", "tf")
 
 
-@query("R12_postings_dump", f"with {_POST} select word, string_agg(doc_id || ':' || pos, ' ' order by doc_id, pos) as places from post where word >= 'z' group by 1")
+@query("R12_postings_dump", f"with {_POST} select word, string_agg(doc_id || ':' || pos, ' ' order by doc_id, pos) as places from post group by 1")
 def r12(spark, sf):
-    p = R.postings(table(spark, sf)).where("word >= 'z'")
+    p = R.postings(table(spark, sf))
     return p.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "pos"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["pos"].cast("string"))), " ").alias("places"))
 
 
@@ -387,11 +442,11 @@ for _name, _f, _sql in (
     query(_name, f"{_LISTS} {_sql}")(_u)
 
 
-@query("U7_vector_sum", f"with {TF} select word, sum(n)::bigint as n from tf where doc_id in (1, 2) group by 1")
+@query("U7_vector_sum", f"with {TF} select word, sum(n)::bigint as n from tf group by 1")
 def u7(spark, sf):
     tf = corpus(spark, sf).tf
-    one = lambda k: tf.where(F.col("doc_id") == k).select("word", "n")
-    return U.vector_sum(one(1), one(2))
+    one = lambda k: tf.where(F.col("doc_id") % 2 == k).groupBy("word").agg(F.sum("n").alias("n"))
+    return U.vector_sum(one(0), one(1))
 
 
 @query("U8_vector_print", f"with {TF} select doc_id, string_agg('(' || word || ', ' || n || ')', ' ' order by word) as line from tf group by 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.functions.portable import uniform, uniform_sql
 from quern.operators import corpus as C
 from quern.operators import select as S
 from quern.operators import split as D
@@ -79,6 +80,67 @@ def s10(spark, sf):
     return postings(table(spark, sf))
 
 
+@query("S6_read_indexed", f"with {TF} select doc_id::varchar as name, class, word, n from tf")
+def s6i(spark, sf):
+    c = corpus(spark, sf)
+    lines = I.print_matrix(c.tf, c.docs, "n").select(F.concat_ws(" ", F.col("doc_id").cast("string"), "class", F.lit(""), "line").alias("value"))
+    return I.read_matrix(lines, "n", I.with_index(c.tf))
+
+
+@query("S6_read_repeated", f"with {TF} select doc_id::varchar as name, class, word, n from tf")
+def s6l(spark, sf):
+    c = corpus(spark, sf)
+    return I.read_matrix(I.print_matrix(c.tf, c.docs, "l").select(F.concat_ws(" ", F.col("doc_id").cast("string"), "class", F.lit(""), "line").alias("value")), "l")
+
+
+@query("S6_read_dense", "with q as (select item_id, lower(unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) between 2 and 99))) as word from benchmark) select item_id::varchar as name, 'b' as class, word, count(*) as n from q group by 1, 3")
+def s6d(spark, sf):
+    tf = C.term_counts(T.tokens(table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")))
+    docs = tf.select("doc_id", F.lit("b").alias("class")).distinct()
+    lines = I.print_dense(tf, docs).select(F.concat_ws(" ", F.col("doc_id").cast("string"), "class", F.lit(""), "line").alias("value"))
+    return I.read_matrix(lines, "ae", I.with_index(tf))
+
+
+@query("S11_positional_archive", f"with {_POST} select word, count(distinct doc_id) as df, count(*) as cf, min(pos) as first_pos, max(pos) as last_pos from post group by 1")
+def s11(spark, sf):
+    from quern.functions.lineage import shared_dir
+    from quern.operators.retrieve import postings
+
+    path = shared_dir(spark, "positions")
+    I.write_postings(path, postings(table(spark, sf)))
+    return I.read_postings(spark, path).groupBy("word").agg(F.count_distinct("doc_id").alias("df"), F.count("*").alias("cf"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query("S9_append", f"with {_POST} select word, count(*) as cf from post group by 1")
+def s9(spark, sf):
+    from quern.functions.lineage import shared_dir
+    from quern.operators.retrieve import postings
+
+    path = shared_dir(spark, "positions")
+    for k in range(3):  # documents come in three lots
+        I.write_postings(path, postings(table(spark, sf).where(f"doc_id % 3 = {k}")), append=k > 0)
+    return I.read_postings(spark, path).groupBy("word").agg(F.count("*").alias("cf"))
+
+
+def _folders(spark, sf):
+    """documents as a tree of folders, a file in each."""
+    from quern.functions.lineage import shared_dir
+
+    path = shared_dir(spark, "folders")
+    table(spark, sf).select("lang", "source", F.regexp_replace("text", "\\r", " ").alias("text")).repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    return I.read_class_folders(spark, path, exclude="_SUCCESS")
+
+
+@query("S1_directory_walk", "select 'source=' || source as class, count(distinct lang) as files, sum(length(text) + 1)::bigint as chars from documents group by 1")
+def s1(spark, sf):
+    return _folders(spark, sf).groupBy("class").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("S2_document_list", "with l as (select distinct 'lang=' || lang || '/source=' || source as folder from documents) select (row_number() over (order by folder))::int as number, folder, 'source=' || split_part(folder, 'source=', 2) as class, (count(*) over ())::bigint as length from l")
+def s2(spark, sf):
+    return I.document_list(_folders(spark, sf).select(F.regexp_extract("name", "(lang=.*)/[^/]*$", 1).alias("name"), "class")).withColumnRenamed("name", "folder")
+
+
 @query("S13_multi_label_list", "select 'f' || doc_id as name, lang || ',' || source as classes from documents")
 def s13(spark, sf):
     lines = table(spark, sf).select(F.concat_ws(" ", F.concat(F.lit("f"), F.col("doc_id").cast("string")), "lang", "source").alias("value"))
@@ -124,6 +186,12 @@ def t3(spark, sf):
     return C.term_counts(T.tokens(table(spark, sf), words=spec.apply(T.raw_words(F.col("text"), "white"))))
 
 
+@query("T3_stemmed_post_process")
+def t3s(spark, sf):
+    spec = T.PostProcess(strip_tail=True, most_digits=3, stop=True, stem=True, shortest=3, longest=20, first_n=100)
+    return C.term_counts(spec.tokens(table(spark, sf), T.raw_words(F.col("text"), "white")))
+
+
 for _name, _pattern in T.LEXERS.items():
 
     def _t4(spark, sf, _name=_name):
@@ -146,7 +214,7 @@ def t5(spark, sf):
     f"with {TOK}, a as (select doc_id, pos, word as w0, lead(word, 1) over w as w1, lead(word, 2) over w as w2 from tok window w as (partition by doc_id order by pos)), g as (select doc_id, concat_ws(';', w0, w1, w2) as gram from a union all select doc_id, concat_ws(';', w0, w1) from a union all select doc_id, w0 from a) select gram, count(*) as n, count(distinct doc_id) as df from g group by 1",
 )
 def t6(spark, sf):
-    g = T.grams(T.tokens(table(spark, sf)), 3)
+    g = T.text_grams(table(spark, sf), 3)
     return g.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
 
 
@@ -222,12 +290,12 @@ def a2(spark, sf):
 
 @query("A3_term_document", f"with {TF} select doc_id, word, n from tf")
 def a3(spark, sf):
-    return corpus(spark, sf).tf
+    return corpus(spark, sf, keep=False).tf
 
 
 @query("A3_binary_counts", f"with {TF} select doc_id, count(*) as words, sum(least(n, 1)) as ones, sum(n) as total from tf group by 1")
 def a3b(spark, sf):
-    return corpus(spark, sf).tf.groupBy("doc_id").agg(F.count("*").alias("words"), F.sum(F.least("n", F.lit(1))).alias("ones"), F.sum("n").alias("total"))
+    return corpus(spark, sf, keep=False).tf.groupBy("doc_id").agg(F.count("*").alias("words"), F.sum(F.least("n", F.lit(1))).alias("ones"), F.sum("n").alias("total"))
 
 
 @query("A4_word_vector", "with x as (select item_id, lower(unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w) between 2 and 99))) as word from benchmark) select item_id, word, count(*) as n from x group by 1, 2")
@@ -237,13 +305,13 @@ def a4(spark, sf):
 
 @query("A5_vector_lengths", f"with {TF} select doc_id, sum(n) as word_count, count(*) as entries, coalesce(sum(n) filter (word = 'the'), 0) as n_the from tf group by 1")
 def a5(spark, sf):
-    return corpus(spark, sf).tf.groupBy("doc_id").agg(F.sum("n").alias("word_count"), F.count("*").alias("entries"), F.sum(F.when(F.col("word") == "the", F.col("n")).otherwise(0)).alias("n_the"))
+    return corpus(spark, sf, keep=False).tf.groupBy("doc_id").agg(F.sum("n").alias("word_count"), F.count("*").alias("entries"), F.sum(F.when(F.col("word") == "the", F.col("n")).otherwise(0)).alias("n_the"))
 
 
-@query("A6_class_columns", f"with {TF} select class, word, doc_id, n from tf where class = 'de'")
+@query("A6_class_columns", f"with {TF} select class, word, doc_id, n from tf")
 def a6(spark, sf):
     c = corpus(spark, sf)
-    return c.tf.join(c.docs.where("class = 'de'").select("doc_id", "class"), "doc_id").select("class", "word", "doc_id", "n")
+    return c.tf.join(c.docs.select("doc_id", "class"), "doc_id").select("class", "word", "doc_id", "n")
 
 
 for _event, _sql in {
@@ -335,18 +403,14 @@ def a15(spark, sf):
 _COO = TF + ", often as (select word from tf group by 1 having count(*) >= 40), o as (select doc_id, word, n from tf semi join often using (word)), coo as (select a.word as w1, b.word as w2, sum(a.n * b.n) as n from o a join o b using (doc_id) group by 1, 2)"
 
 
-@query("A16_cooccurrence", f"with {_COO} select w1, w2, n from coo")
+@query("A16_cooccurrence")
 def a16(spark, sf):
-    return C.cooccurrence(corpus(spark, sf).tf, 40)
+    return C.cooccurrence(corpus(spark, sf).tf)
 
 
-@query(
-    "A16_cooccurrence_entropy",
-    f"with {_COO}, v as (select count(distinct w1) as v from coo), s as (select w1, sum(n) as s, count(*) as seen from coo group by 1), p as (select w1, seen, v, s, (n + floor(v / 100) / v) / (s + floor(v / 100)) as p, (floor(v / 100) / v) / (s + floor(v / 100)) as rest from coo join s using (w1), v) "
-    "select w1 as word, round(-sum(p * log2(p)) - any_value(case when rest > 0 then (v - seen) * rest * log2(case when rest > 0 then rest else 1 end) else 0 end), 6) + 0 as entropy from p group by 1",
-)
+@query("A16_cooccurrence_entropy")
 def a16e(spark, sf):
-    return C.cooccurrence_entropy(C.cooccurrence(corpus(spark, sf).tf, 40)).withColumn("entropy", r6("entropy"))
+    return C.cooccurrence_entropy(C.cooccurrence(corpus(spark, sf).tf)).withColumn("entropy", r6("entropy"))
 
 
 @query("A20_documents_by_tag", f"with {TF} select doc_id, tag, count(*) as entries, sum(n) as word_count from tf where tag = 'train' group by 1, 2")
@@ -424,14 +488,9 @@ def v9k(spark, sf):
     return S.top_by_gain(c.tf, S.information_gain(c).withColumn("ig", r6("ig")), 500).select("doc_id", "word", "n")
 
 
-@query(
-    "V8_pair_infogain",
-    f"with {CLASSES}, tr as (select doc_id, class, word from tf where tag = 'train'), often as (select word from tr group by 1 having count(*) >= 40), o as (select * from tr semi join often using (word)), cells as (select a.word as w1, b.word as w2, a.class, count(*) as m from o a join o b on a.doc_id = b.doc_id and a.word < b.word group by 1, 2, 3), "
-    "tot as (select sum(n_docs) as total from cs), hc as (select sum(-(n_docs / total) * log2(n_docs / total)) as hc from cs, tot), wd as (select w1, w2, sum(m) as wm from cells group by 1, 2), grid as (select w1, w2, wm, c.class, n_docs as size, coalesce(m, 0) as m, total from wd cross join cs c left join cells using (w1, w2, class), tot), "
-    "parts as (select w1, w2, wm, total, m / wm as pw, case when total > wm then (size - m) / (total - wm) else 0 end as pn from grid), g as (select w1, w2, any_value(hc) - any_value(wm / total) * sum(case when pw > 0 then -pw * log2(pw) else 0 end) - any_value((total - wm) / total) * sum(case when pn > 0 then -pn * log2(pn) else 0 end) as ig from parts, hc group by 1, 2) select w1, w2, round(ig, 6) as ig from g where ig > 0.01",
-)
+@query("V8_pair_infogain")
 def v8(spark, sf):
-    return S.pair_information_gain(corpus(spark, sf), 40).withColumn("ig", r6("ig"))
+    return S.pair_information_gain(corpus(spark, sf), 1).withColumn("ig", r6("ig"))
 
 
 @query("V10_foil_gain", f"with {TF}, pos as (select class, word, count(*) as pos from tf group by 1, 2), df as (select word, sum(pos) as df from pos group by 1), sh as (select class, count(*) / sum(count(*)) over () as p from docs group by 1) select class, word, round(pos * (log2(pos / df) - log2(p)), 6) + 0 as gain from pos join df using (word) join sh using (class)")
@@ -439,9 +498,9 @@ def v10(spark, sf):
     return S.foil_gain(corpus(spark, sf)).withColumn("gain", r6("gain"))
 
 
-@query("V11_noisy_counts")
+@query("V11_noisy_counts", f"with {TF} select word, round(sum(n) + {uniform_sql('word', 1)} / 100, 9) as score from tf group by 1")
 def v11(spark, sf):
-    return S.noisy_counts(corpus(spark, sf).tf)
+    return S.noisy_counts(corpus(spark, sf).tf).withColumn("score", F.round("score", 9))
 
 
 @query("V12_class_mutual_information", f"with {CLASSES}, x as (select class, word, round(abs(n * ln(n * alln / (word_count * total))), 6) as mi from ctf join cs using (class) join cw using (word), v) select class, word, mi from x qualify row_number() over (partition by class order by mi desc, word) <= 50")
@@ -519,6 +578,26 @@ def d8(spark, sf):
     return D.split(docs, {"train": "10pc", "test": "0.2", "unlabeled": "remaining"}).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+_SPECS = "with d as (select count(*) as n from documents), c as (select lang, count(*) as k from documents group by 1), i as (select sum(case lang when 'de' then least(k, 5) when 'fr' then least(k, 3) else 0 end) as i from c), t as (select n, i, floor((n - i) * 0.25 + 0.5) as t from d, i), r as (select *, floor((n - i - t) * 0.5 + 0.5) as r from t), v as (select *, floor(r * 0.1 + 0.5) as v from r), u as (select 'ignore' as tag, i::bigint as n from v union all select 'test', t::bigint from v union all select 'train', (r - v)::bigint from v union all select 'validation', v::bigint from v union all select 'unlabeled', (n - i - t - r)::bigint from v) select tag, n from u"
+
+
+@query("D7_spec_language", _SPECS)
+def d7(spark, sf):
+    docs = table(spark, sf).select("doc_id", F.col("lang").alias("class"), F.col("source").alias("name"))
+    return D.split(docs, {"ignore": "[de,5,fr,3]", "test": "0.25", "train": "0.5r", "validation": "0.1t", "unlabeled": "remaining"}).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("D7_tagged_documents", "with r as (select doc_id, lang, row_number() over (partition by lang order by md5(doc_id::varchar || ':1'), doc_id) as k from documents) select doc_id, case when k <= 10 then 'test' else 'train' end as tag from r")
+def d7t(spark, sf):
+    docs = table(spark, sf).select("doc_id", F.col("lang").alias("class"), F.col("source").alias("name"))
+    return D.split(docs, {"test": "10pc", "train": "remaining"}).select("doc_id", "tag")
+
+
+@query("D9_seeded_draws", f"select doc_id, round({uniform_sql('doc_id::varchar', 7)}, 9) as u from documents")
+def d9(spark, sf):
+    return table(spark, sf).select("doc_id", F.round(uniform("doc_id", seed=7), 9).alias("u"))
+
+
 # Weights
 
 for _name, _expr, _kw in (
@@ -559,6 +638,18 @@ for _how, _expr in {"idf": "n * idf", "log_idf": "ln(n + 1) * idf", "document_th
     query(f"W4_query_{_how}", f"with {TF}, {_IDF} select doc_id, word, round({_expr}, 6) + 0 as weight from {_from}")(_w4)
 
 
+_QUERY = "q0 as (select item_id, lower(unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) between 2 and 99))) as word from benchmark), qw as (select item_id, word, ln(count(*) + 1) * any_value(idf) as weight from q0 join idf using (word) group by 1, 2)"
+for _how, _size in (("length", "sqrt(sum(weight * weight) over (partition by item_id))"), ("sum", "sum(weight) over (partition by item_id)")):
+
+    def _w3(spark, sf, _how=_how):
+        c = corpus(spark, sf)
+        asked = C.term_counts(T.tokens(table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")))
+        out = W.normalise(W.query_weights(asked, W.idf(c.tf, c.docs)), _how)  # a query of zeros has no rows
+        return out.select(F.col("doc_id").alias("item_id"), "word", r6("weight").alias("weight"))
+
+    query(f"W3_query_{_how}", f"with {TF}, {_IDF}, {_QUERY} select item_id, word, round(weight / size, 6) + 0 as weight from (select *, {_size} as size from qw) where size <> 0")(_w3)
+
+
 @query("W5_scale_by_infogain", f"with {TF}, {_IDF}, ig as ({_ig('df', 'n_docs')}) select doc_id, word, round(weight * ig, 6) + 0 as weight from wt join ig using (word)")
 def w5(spark, sf):
     c = corpus(spark, sf)

@@ -57,13 +57,59 @@ def with_index(tf: DataFrame) -> DataFrame:
     return local.join(F.broadcast(before), "part").select("word", (F.col("before") + F.col("k") - 1).alias("wi"))
 
 
-def read_matrix(lines: DataFrame, form: str = "wn") -> DataFrame:
-    """name, class, word, n of lines (value) ``name class  cell  cell ...`` of form wn, win or b."""
-    parts = lines.select(F.split("value", "\\s+").alias("f"))
-    step = {"wn": 2, "win": 3, "b": 2}[form]
+def print_dense(tf: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, class, line: the counts of every word of the dictionary, in its order; a document with no word has no line."""
+    size = tf.select("word").distinct().agg(F.count("*").alias("v"))
+    rows = tf.join(with_index(tf), "word").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("wi").cast("int"), "n"))).alias("cells"))
+    every = F.transform(F.sequence(F.lit(0), (F.col("v") - 1).cast("int")), lambda k: F.coalesce(F.try_element_at("cells", k), F.lit(0)).cast("string"))
+    return rows.crossJoin(F.broadcast(size)).join(docs.select("doc_id", "class"), "doc_id").select("doc_id", "class", F.array_join(every, "  ").alias("line"))
+
+
+def read_matrix(lines: DataFrame, form: str = "wn", words: DataFrame | None = None) -> DataFrame:
+    """name, class, word, n of lines (value) ``name class  cell  cell ...``.
+
+    form: wn (word n), win (word index n), b (word 1), n (index n), w (the words that occur), l (a word as often as it occurs), or a
+    (dense: a cell of every word) before e (n) or b (0 or 1). words (word, wi) is needed where words aren't printed."""
+    parts = lines.select(F.split(F.trim("value"), "\\s+").alias("f"))
     rows = parts.select(F.col("f")[0].alias("name"), F.col("f")[1].alias("class"), F.slice("f", 3, 1 << 30).alias("c"))
+    if form in ("w", "l"):
+        cells = rows.select("name", "class", F.explode("c").alias("word")).groupBy("name", "class", "word").agg(F.count("*").alias("n"))
+        return cells.withColumn("n", F.lit(1).cast("long")) if form == "w" else cells
+    if form.startswith("a"):
+        cells = rows.select("name", "class", F.posexplode("c").alias("wi", "n")).select("name", "class", "wi", F.col("n").cast("long").alias("n")).where("n > 0")
+        return cells.join(words.select("word", "wi"), "wi").select("name", "class", "word", "n")
+    step = {"wn": 2, "win": 3, "b": 2, "n": 2}[form]
     index = F.explode(F.sequence(F.lit(0), F.floor(F.size("c") / step).cast("int") - 1)).alias("k")
-    return rows.where(F.size("c") >= step).select("name", "class", "c", index).select("name", "class", F.col("c")[F.col("k") * step].alias("word"), F.col("c")[F.col("k") * step + step - 1].cast("long").alias("n"))
+    cells = rows.where(F.size("c") >= step).select("name", "class", "c", index).select("name", "class", F.col("c")[F.col("k") * step].alias("word"), F.col("c")[F.col("k") * step + step - 1].cast("long").alias("n"))
+    if form == "n":
+        return cells.withColumn("wi", F.col("word").cast("long")).drop("word").join(words.select("word", "wi"), "wi").select("name", "class", "word", "n")
+    return cells
+
+
+def document_list(docs: DataFrame) -> DataFrame:
+    """number (from 1, in order of names), name, class, length (of the list); numbered by range partitions and their offsets."""
+    ranged = docs.select("name", "class").repartitionByRange("name").withColumn("part", F.spark_partition_id())
+    local = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("name")))
+    sizes = local.groupBy("part").agg(F.count("*").alias("size"))
+    whole = Window.partitionBy()
+    before = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("size").over(whole).alias("length"))  # a row a partition
+    return local.join(F.broadcast(before), "part").select((F.col("before") + F.col("k")).cast("int").alias("number"), "name", "class", "length")
+
+
+def write_postings(path: str, index: DataFrame, append: bool = False, slices: int = 16) -> None:
+    """A positional index (doc_id, pos, word) as an archive: slices of words, in a slice sorted by word, so that a term's postings are
+    read from one folder and few row groups."""
+    rows = index.withColumn("slice", F.pmod(F.hash("word"), F.lit(slices))).repartition("slice").sortWithinPartitions("slice", "word", "doc_id", "pos")
+    rows.write.mode("append" if append else "overwrite").partitionBy("slice").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, words: tuple[str, ...] = (), slices: int = 16) -> DataFrame:
+    """doc_id, pos, word of an archive; with words, only their slices are read."""
+    index = spark.read.parquet(path)
+    if words:
+        wanted = spark.createDataFrame([(w,) for w in words], "word string").select(F.pmod(F.hash("word"), F.lit(slices))).distinct().collect()  # a row a word
+        index = index.where(F.col("slice").isin(*[r[0] for r in wanted]) & F.col("word").isin(*words))
+    return index.select("doc_id", "pos", "word")
 
 
 def parse_label_lists(lines: DataFrame) -> DataFrame:
