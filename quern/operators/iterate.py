@@ -163,7 +163,7 @@ def committee_disagreement(members: list[DataFrame]) -> DataFrame:
         part = m.select("doc_id", "class", "score", F.lit(k).alias("member"))
         all_ = part if all_ is None else all_.unionByName(part)
     mean = F.avg("score").over(Window.partitionBy("doc_id", "class"))
-    kl = all_.withColumn("mean", mean).groupBy("doc_id").agg((F.sum(F.when(F.col("score") > 0, F.col("score") * F.log(F.col("score") / F.col("mean"))).otherwise(0.0)) / len(members)).alias("kl"))
+    kl = all_.withColumn("mean", mean).groupBy("doc_id").agg((F.sum(F.when(F.col("score") > 0, F.col("score") * F.log(F.col("score") / F.greatest("mean", F.lit(1e-300)))).otherwise(0.0)) / len(members)).alias("kl"))
     votes = all_.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "member").orderBy(F.desc("score"), "class"))).where("k = 1").groupBy("doc_id", "class").agg((F.count("*") / len(members)).alias("p"))
     return kl.join(votes.groupBy("doc_id").agg(F.sum(-F.col("p") * F.log("p")).alias("vote_entropy")), "doc_id")
 
@@ -172,12 +172,12 @@ def committee(corpus: Corpus, members: int = 3, tag: str = "test", seed: int = 1
     """Scores of the tag's documents by Laplace models of perturbed counts, one a member."""
     out = []
     for k in range(members):
-        cells = perturbed_counts(corpus, kind, seed * 1000 + k).where("n > 0")
+        cells = cut(perturbed_counts(corpus, kind, seed * 1000 + k).where("n > 0"))
         size = cells.groupBy("class").agg(F.sum("n").alias("size"))
         v = corpus.class_words.agg(F.count("*").alias("v"))
         classes = corpus.class_stats.select("class", "prior").join(size, "class").crossJoin(F.broadcast(v))  # a row a class
         known = corpus.tf.join(corpus.class_words.select("word"), "word", "left_semi")
-        out.append(soft_scores(known, corpus.docs.where(F.col("tag") == tag), cells, classes))
+        out.append(cut(soft_scores(known, corpus.docs.where(F.col("tag") == tag), cells, classes)))
     return out
 
 

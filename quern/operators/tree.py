@@ -227,6 +227,27 @@ def em_step(tf: DataFrame, anc: DataFrame, priors: DataFrame, lambdas: DataFrame
     return cut(new_priors), cut(new_lambdas), cut(new_words)
 
 
+def cluster(tf: DataFrame, leaves: list[str], rounds: int = 4, start_temper: float = 4.0, cooling: float = 0.5, noise: float = 0.2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Priors, lambdas and node words of leaves found by annealed EM from the corpus distribution, perturbed by a seeded hash."""
+    spark = tf.sparkSession
+    paths = spark.createDataFrame([(p,) for p in leaves], "path string")
+    anc = ancestors(paths)
+    whole = tf.groupBy("word").agg(F.sum("n").alias("n"))
+    v = whole.count()
+    names = anc.select("node").distinct()
+    jitter = F.pmod(F.xxhash64("node", "word"), F.lit(1000)) / 1000
+    raw = names.crossJoin(whole).select("node", "word", (F.col("n") * ((1 - noise) + 2 * noise * jitter)).alias("m"))  # few nodes
+    words = cut(raw.select("node", "word", (F.col("m") / F.sum("m").over(Window.partitionBy("node"))).alias("p")))
+    depth = anc.groupBy("leaf").agg((F.max("level") + 2).alias("k"))
+    lambdas = anc.select("leaf", "level").unionByName(paths.select(F.col("path").alias("leaf"), F.lit(-1).alias("level"))).join(depth, "leaf").select("leaf", "level", (1 / F.col("k")).alias("lambda"))
+    priors = paths.select(F.col("path").alias("leaf"), F.lit(1 / len(leaves)).alias("prior"))
+    temper = start_temper
+    for _ in range(rounds):
+        priors, lambdas, words = em_step(tf, anc, priors, lambdas, words, v, temper)
+        temper = max(1.0, temper * cooling)
+    return priors, lambdas, words
+
+
 def _log_rows(tf: DataFrame, anc: DataFrame, lambdas: DataFrame, words: DataFrame, v: int) -> DataFrame:
     """doc_id, leaf, total, log_prob of documents under shrunk leaves."""
     one = tf.sparkSession.createDataFrame([(v,)], "v long")
@@ -234,7 +255,7 @@ def _log_rows(tf: DataFrame, anc: DataFrame, lambdas: DataFrame, words: DataFram
     return leaf_log_probs(tf, shrunk(words, anc, lambdas, one), unseen)
 
 
-def cluster(tf: DataFrame, branching: int = 2, start_temper: float = 100.0, end_temper: float = 1.0, decay: float = 0.9, settle: float = 2.0, most_rounds: int = 1000, split_kl: float = 0.4, most_depth: int = 6, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+def grow_clusters(tf: DataFrame, branching: int = 2, start_temper: float = 100.0, end_temper: float = 1.0, decay: float = 0.9, settle: float = 2.0, most_rounds: int = 1000, split_kl: float = 0.4, most_depth: int = 6, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Priors, lambdas and node words of a hierarchy that grows from the corpus by annealed EM.
 
     At each temperature EM goes on until the perplexity changes by `settle` or less; then the leaves under a node whose children

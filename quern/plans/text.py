@@ -403,12 +403,23 @@ def a15(spark, sf):
 _COO = TF + ", often as (select word from tf group by 1 having count(*) >= 40), o as (select doc_id, word, n from tf semi join often using (word)), coo as (select a.word as w1, b.word as w2, sum(a.n * b.n) as n from o a join o b using (doc_id) group by 1, 2)"
 
 
-@query("A16_cooccurrence")
+_COO7 = TF + ", often as (select word from tf group by 1 having count(*) >= 7), o as (select doc_id, word, n from tf semi join often using (word)), coo as (select a.word as w1, b.word as w2, sum(a.n * b.n)::bigint as n from o a join o b using (doc_id) group by 1, 2)"
+
+
+@query("A16_cooccurrence", f"with {_COO7} select w1, count(*) as partners, sum(n)::bigint as n, coalesce(sum(n) filter (w1 = w2), 0)::bigint as own, arg_min(w2, (-n, w2)) as first_partner from coo group by 1")
 def a16(spark, sf):
-    return C.cooccurrence(corpus(spark, sf).tf)
+    # every pair is counted; a row a word tells of its pairs
+    coo = C.cooccurrence(corpus(spark, sf).tf)
+    own = F.coalesce(F.sum(F.when(F.col("w1") == F.col("w2"), F.col("n"))), F.lit(0)).alias("own")
+    rows = coo.groupBy("w1").agg(F.count("*").alias("partners"), F.sum("n").alias("n"), own, F.min(F.struct((-F.col("n")).alias("c"), "w2")).alias("top"))
+    return rows.select("w1", "partners", "n", "own", F.col("top.w2").alias("first_partner"))
 
 
-@query("A16_cooccurrence_entropy")
+@query(
+    "A16_cooccurrence_entropy",
+    f"with {_COO7}, v as (select count(distinct w1) as v from coo), s as (select w1, sum(n) as s, count(*) as seen from coo group by 1), p as (select w1, seen, v, s, (n + floor(v / 100) / v) / (s + floor(v / 100)) as p, (floor(v / 100) / v) / (s + floor(v / 100)) as rest from coo join s using (w1), v) "
+    "select w1 as word, round(-sum(p * log2(p)) - any_value(case when rest > 0 then (v - seen) * rest * log2(case when rest > 0 then rest else 1 end) else 0 end), 6) + 0 as entropy from p group by 1",
+)
 def a16e(spark, sf):
     return C.cooccurrence_entropy(C.cooccurrence(corpus(spark, sf).tf)).withColumn("entropy", r6("entropy"))
 

@@ -257,3 +257,133 @@ def test_entry(spark):
     assert len(names) > 150 and set(entry.oracle_sql()) <= set(names)
     if os.path.exists("/root/testdata/sf0.001"):
         assert entry.entry(spark).count() > 0
+
+
+def test_lowest_hashes(spark):
+    from hashlib import md5
+
+    from quern.operators.split import lowest, split
+
+    rows = [(k, "ab"[k % 3 == 0]) for k in range(900)] + [(5000, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, class string")
+    want = {"a": 17, "b": 299, "c": 4}
+    got = column(lowest(docs, spark.createDataFrame(list(want.items()), "class string, quota long"), 3).withColumn("x", F.lit(1)), "doc_id", "x")
+    order = sorted(rows, key=lambda r: md5(f"{r[0]}:3".encode()).hexdigest())
+    assert set(got) == {k for c, n in want.items() for k in [d for d, x in order if x == c][:n]}
+    tags = split(docs.withColumn("name", F.lit("")), {"ignore": "[b,3]", "test": "0.5", "train": "40r", "validation": "0.1t", "unlabeled": "remaining"})
+    assert column(tags.groupBy("tag").count(), "tag", "count") == {"ignore": 3, "test": 449, "train": 36, "validation": 4, "unlabeled": 409}
+
+
+def test_stored_and_released(spark):
+    from quern.functions.lineage import release, spread, stored
+
+    df = stored(spark.range(10).withColumnRenamed("id", "x"), "test")
+    assert df.count() == 10 and spread(spark.range(4, numPartitions=1)).rdd.getNumPartitions() > 1
+    assert release(spark) >= 1 and release(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.schema(df.schema).parquet(df.inputFiles()[0]).count()
+
+
+def test_log_gamma_and_bags(spark):
+    from quern.operators.stats import bag_evidence, log_evidence, log_gamma
+
+    xs = [0.01, 0.5, 1.0, 2.5, 9.0, 333.3, 1e6]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", log_gamma(F.col("x")).alias("g")).collect()
+    assert all(r.g == pytest.approx(math.lgamma(r.x), rel=1e-9, abs=1e-9) for r in got)
+    bags = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (1, "z", 9), (2, "c", 2)], "doc_id long, word string, n long")
+    alphas = spark.createDataFrame([("k", "a", 0.5), ("k", "b", 2.0), ("k", "c", 1.5)], "class string, word string, alpha double")
+    got = column(bag_evidence(bags, alphas), "doc_id", "log_evidence")
+    assert got[1] == pytest.approx(log_evidence(np.array([3, 1, 0]), np.array([0.5, 2.0, 1.5]))) and got[2] == pytest.approx(log_evidence(np.array([0, 0, 2]), np.array([0.5, 2.0, 1.5])))
+
+
+def test_postings_archive(spark, tmp_path):
+    from quern.operators.retrieve import postings
+    from quern.sources import files as I
+
+    docs = spark.createDataFrame([(1, "red fox and red hen"), (2, "hen")], "doc_id long, text string")
+    path = str(tmp_path / "index")
+    I.write_postings(path, postings(docs.where("doc_id = 1")))
+    I.write_postings(path, postings(docs.where("doc_id = 2")), append=True)
+    key = lambda df: sorted((r.word, r.doc_id, r.pos) for r in df.collect())
+    assert key(I.read_postings(spark, path)) == key(postings(docs))
+    assert key(I.read_postings(spark, path, ("hen", "red"))) == [("hen", 1, 4), ("hen", 2, 0), ("red", 1, 0), ("red", 1, 3)]
+
+
+def test_pipe_allowed(spark):
+    from quern.sources.files import pipe_text
+
+    docs = spark.createDataFrame([(1, "abc"), (2, "")], "doc_id long, text string")
+    assert column(pipe_text(docs, ["tr", "a-z", "A-Z"], allowed=True), "doc_id", "text") == {1: "ABC", 2: ""}
+
+
+def test_label_searches(spark):
+    from quern.operators import tree as H
+
+    model = {"x": {"a": 0.9, "b": 0.1}, "y": {"c": 0.9, "d": 0.1}, "z": {"a": 0.5, "c": 0.5}}
+    bags = {1: {"a": 9, "b": 1}, 2: {"a": 20, "b": 5, "c": 20, "d": 5}, 3: {"q": 1}}
+    tf = spark.createDataFrame([(d, w, n) for d, b in bags.items() for w, n in b.items()], "doc_id long, word string, n long")
+    words = spark.createDataFrame([(c, w, p) for c, ps in model.items() for w, p in ps.items()], "class string, word string, p double")
+    for how in ("greedy0", "greedy1", "greedy2"):
+        got = column(H.search_labels(tf, words, how), "doc_id", "classes")
+        assert got[1] == "x" and got[3] == "x"
+        if how == "greedy2":  # the others can't give up the label they begin with, z
+            assert got[2] == "|".join(H.exhaustive_labels(bags[2], model, 3)) == "x|y"
+
+
+def test_mixtures_of_label_sets(spark):
+    from quern.operators import tree as H
+
+    tf = spark.createDataFrame([(1, "a", 9), (2, "c", 9), (3, "a", 6), (3, "c", 3)], "doc_id long, word string, n long")
+    sets = spark.createDataFrame([(1, ["x"]), (2, ["y"]), (3, ["y", "x"])], "doc_id long, classes array<string>")
+    weights, words = H.mixture_em(tf, sets, alpha=0.01)
+    got = {(r.set_key, r["class"]): r.weight for r in weights.collect()}
+    assert got[("x", "x")] == 1 and got[("x|y", "x")] == pytest.approx(2 / 3, abs=0.01) and got[("x|y", "y")] == pytest.approx(1 / 3, abs=0.01)
+    assert words.groupBy("class").agg(F.sum("p").alias("p")).where("abs(p - 1) > 1e-9").count() == 0
+
+
+def test_svm_in_tasks(spark):
+    from quern.operators import svm as V
+
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(k, "ab"[k % 2], "train" if k < 20 else "test") for k in range(60)], "doc_id long, class string, tag string")
+    vectors = spark.createDataFrame([(k, w, float(x)) for k in range(60) for w, x in (("u", 1 - k % 2 + rng.normal() / 9), ("v", k % 2 + rng.normal() / 9))], "doc_id long, word string, weight double")
+    got = {r.doc_id: r.label for r in V.transduce_pairwise(vectors, docs, c=10.0).collect()}
+    assert len(got) == 40 and all(label == "ab"[k % 2] for k, label in got.items())
+    asked = V.active_rounds(vectors, docs, rounds=2, each=3, start=5, c=10.0).collect()
+    assert sorted(r["round"] for r in asked) == [0] * 3 + [1] * 3 and len({r.doc_id for r in asked}) == 6
+    right = V.vote(vectors, docs, V.train_pairwise(vectors, docs, c=10.0, drop_bound=True)).groupBy("doc_id").agg(F.max_by("class", "score").alias("class"))
+    assert all(r["class"] == "ab"[r.doc_id % 2] for r in right.collect())
+
+
+def test_growing_hierarchy(spark):
+    from quern.operators import tree as H
+
+    tf = spark.createDataFrame([(k, w, 5) for k in range(12) for w in (("a", "b") if k % 2 else ("c", "d"))], "doc_id long, word string, n long")
+    priors, lambdas, words = H.grow_clusters(tf, decay=0.1, most_rounds=3)
+    assert priors.agg(F.sum("prior")).first()[0] == pytest.approx(1) and priors.count() >= 2
+    assert lambdas.groupBy("leaf").agg(F.sum("lambda").alias("s")).where("abs(s - 1) > 1e-6").count() == 0
+    assert words.groupBy("node").agg(F.sum("p").alias("s")).where("abs(s - 1) > 1e-6").count() == 0
+
+
+def test_text_grams(spark):
+    df = spark.createDataFrame([(1, "aa bb cc"), (2, "")], "doc_id long, text string")
+    assert [r.gram for r in T.text_grams(df, 2).orderBy("pos", F.desc("size")).collect()] == ["aa;bb", "aa", "bb;cc", "bb", "cc", "cc"]
+
+
+def test_stems_in_the_chain(spark):
+    spec = T.PostProcess(stop=True, stem=True, shortest=3, first_n=2)
+    docs = spark.createDataFrame([(1, "The motoring ponies hopping during agreed")], "doc_id long, text string")
+    assert [r.word for r in spec.tokens(docs, T.raw_words(F.col("text"))).orderBy("pos").collect()] == ["motor", "poni"]
+
+
+def test_gamma_draws_have_their_mean(spark):
+    from quern.functions.portable import uniform
+    from quern.operators.corpus import Corpus
+    from quern.operators.iterate import perturbed_counts
+
+    docs = spark.createDataFrame([(1, "train", "k")], "doc_id long, tag string, class string")
+    tf = spark.createDataFrame([(1, f"w{k}", 7) for k in range(3000)], "doc_id long, word string, n long")
+    n = [r.n for r in perturbed_counts(Corpus(docs, tf), "gamma").collect()]
+    assert min(n) > 0 and np.mean(n) == pytest.approx(7, abs=0.2) and np.var(n) == pytest.approx(7, abs=0.8)
+    u = [r.u for r in spark.range(3000).select(uniform("id", seed=2).alias("u")).collect()]
+    assert np.mean(u) == pytest.approx(0.5, abs=0.03) and 0 < min(u) and max(u) < 1
