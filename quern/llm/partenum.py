@@ -4,8 +4,8 @@ Sets of shingle hashes with equal content are one class. Sizes are cut into band
 each as wide as the threshold allows; a set signs for its own band and the next, so
 two similar sets share a band. In a band the hash domain is cut into n1 groups of n2
 parts; a signature is what a set has in n2 - k2 parts of one group, for every such
-subset (`SHAPES`). Only signatures of `least` or more elements that aren't common (seen
-often in a bounded sample) are sent, so boilerplate makes no hot key.
+subset (`SHAPES`). Only signatures of `least` or more elements that aren't common (counted
+over all rows, by 32 bits of their hash) are sent, so boilerplate makes no hot key.
 
 What that loses is counted. To spoil all of a set's signatures in a group, so many of
 its parts must differ (`guards`); a similar set differs in no more than k places. A set
@@ -13,12 +13,15 @@ whose groups hold more than k in sum shares a signature with every similar set.
 a signature is in more than `crowd` sets, these aren't paired by it, which takes one
 off the sum of each. So pairs by a signature are bounded whatever the size of the data, and
 candidates grow with the signatures, not with their square. Sets whose sum falls to k
-or less sign again in a second round with larger signatures (n2, k2 = 6, 3), and those
-that fall short again in a last one without a bound, by the elements of their prefix
-in one order for all sets (elements that aren't common by hash, then common ones from
-the rarest on). A pair is found in the first round in which one of the two has enough.
-The last round isn't PartEnum, but prefix filtering: it is left with sets that have nearly
-everything in common with more than `crowd` others, and there signatures do worse.
+or less sign again in a second round with larger signatures (n2, k2 = 6, 3). A pair is
+found in the first round in which one of the two has enough.
+
+Pairs of two sets that fall short again are never listed (`crowded`): these sets have nearly
+everything in common with more than `crowd` others. Their elements are counted exactly; two
+similar sets share an element of their prefixes (rarest first), and a set's home is one
+of these elements. A home's sets are held against all sets that share a prefix element with
+one of them, as blocks of a matrix product, which gives each set the number of its links
+and a forest of them. This part is prefix filtering, not PartEnum.
 
 Signatures travel as packed blocks, 6 bytes each. A band's share of all signatures says
 into how many places its groups are cut, and places go to buckets in turn, so buckets
@@ -103,6 +106,8 @@ def _common_places(elements: np.ndarray, common: np.ndarray) -> tuple[np.ndarray
     """(which elements aren't common, their places in common)."""
     if not len(common):
         return np.ones(len(elements), bool), np.zeros(len(elements), np.int64)
+    if common.dtype.itemsize == 4:  # the first 32 bits of elements
+        elements = (elements >> np.uint64(32)).astype(np.uint32)
     found = np.minimum(np.searchsorted(common, elements), len(common) - 1)
     return common[found] != elements, found
 
@@ -311,45 +316,166 @@ def may_be_similar(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
     return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (100 - percent) * (n + m)
 
 
-def common_elements(texts: DataFrame, n: int, sample: int, often: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted elements, their ranks from the rarest on): those in `often` sets or more of a sample of about `sample` rows (by
-    hash), `most` of them at most; they steer the work only."""
-    total = texts.count()
-    rows = texts if total <= sample else texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(sample / total * (1 << 20)))
+def common_elements(texts: DataFrame, n: int, often: int, most: int = 1_000_000, held: int = 4 << 20) -> np.ndarray:
+    """The sorted first 32 bits of elements that are in `often` sets or more of all rows (elements alike in these bits count as
+    one), `most` of them at most, the most frequent of each slice of hashes; they steer the work only."""
+    slices = 2 * max(16, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut() -> pa.RecordBatch:
+            high = np.sort(np.concatenate(parts))
+            edge = np.searchsorted(high.astype(np.uint64) * np.uint64(slices) >> np.uint64(32), np.arange(1, slices, dtype=np.uint64))
+            # differences, low halves first: the high halves are nearly all 0 and compress to nothing
+            blocks = [np.diff(x, prepend=x[:1] * 0).astype("<u4").view("<u2").reshape(-1, 2).T.tobytes() for x in np.split(high, edge)]
+            some = [k for k, x in enumerate(blocks) if x]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[k] for k in some], pa.binary())], names=["slice", "block"])
+
+        parts: list[np.ndarray] = []
         for batch in batches:
             for part in chunks(batch):
-                elements = np.sort(sets_of(part["text"], n)[0])
-                edge = np.searchsorted(elements, np.arange(1, 16, dtype=np.uint64) << np.uint64(60))
-                blocks = [x.tobytes() for x in np.split(elements, edge)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(16), pa.int32()), pa.array(blocks, pa.binary())], names=["slice", "block"])
+                parts.append((sets_of(part["text"], n)[0] >> np.uint64(32)).astype("<u4"))
+                if sum(map(len, parts)) > held:
+                    yield cut()
+                    parts = []
+        if parts:
+            yield cut()
 
     def tally(table: pa.Table) -> pa.Table:
-        elements, counts = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in table["block"].to_pylist()]), return_counts=True)
+        whole = lambda b: np.cumsum(np.ascontiguousarray(np.frombuffer(b, "<u2").reshape(2, -1).T).view("<u4").ravel(), dtype=np.uint32)
+        elements, counts = np.unique(np.concatenate([whole(b) for b in table["block"].to_pylist()]), return_counts=True)
         top = np.flatnonzero(counts >= often)
-        top = top[np.argsort(-counts[top], kind="stable")[: most // 16]]
-        return pa.table({"block": pa.array([elements[top].tobytes()], pa.binary()), "counts": pa.array([counts[top].astype("<i4").tobytes()], pa.binary())})
-
-    found = rows.mapInArrow(read, "slice int, block binary").groupBy("slice").applyInArrow(tally, "block binary, counts binary").collect()  # 16 rows of a bounded size
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    elements, counts = np.concatenate([np.frombuffer(r.block, np.uint64) for r in found]), np.concatenate([np.frombuffer(r.counts, "<i4") for r in found])
-    order = np.argsort(elements)
-    elements, counts = elements[order], counts[order]
-    rank = np.empty(len(elements), np.int32)
-    rank[np.lexsort([elements, counts])] = np.arange(len(elements), dtype=np.int32)
-    return elements, rank
-
-
-def similar_classes(docs: DataFrame, percent: int = 70, n: int = 3, sample: int = 30_000, often: int = 2, crowd: int = 48, block_pairs: int = 20_000, broadcast_ids: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has id (doc_id, null as the lowest long), cls and n of every row; links has a < b, the classes
-    of different sets whose similarity is at least percent / 100."""
+        top = top[np.argsort(-counts[top], kind="stable")[: max(1, most // slices)]]
+        return pa.table({"block": pa.array([elements[top].tobytes()], pa.binary())})
+
+    found = texts.mapInArrow(read, "slice int, block binary").groupBy("slice").applyInArrow(tally, "block binary").collect()  # `most` numbers in all
+    return np.sort(np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r.block, "<u4") for r in found)]))
+
+
+def shared_counts(rows: tuple[np.ndarray, np.ndarray], columns: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many elements each set of rows shares with each of columns (elements of a set distinct, end to end, and offsets):
+    elements that many have by matrix products, others pair by pair."""
+    (x, at), (y, to) = rows, columns
+    r, c = len(at) - 1, len(to) - 1
+    both = np.zeros((r, c), np.float32)
+    names = np.intersect1d(x, y)
+    if not len(names):
+        return both
+
+    def placed(elements: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place = np.minimum(np.searchsorted(names, elements), len(names) - 1)
+        has = np.flatnonzero(names[place] == elements)
+        has = has[np.argsort(place[has], kind="stable")]
+        start = np.searchsorted(place[has], np.arange(len(names) + 1))
+        return np.repeat(np.arange(r if offsets is at else c), np.diff(offsets))[has], place[has], start
+
+    own, e, start = placed(x, at)
+    other, f, first = placed(y, to)
+    n, m = np.diff(start), np.diff(first)
+    heavy = np.flatnonzero(n * m * 150 > r * c)
+    for k in range(0, len(heavy), 1024):
+        some = heavy[k : k + 1024]
+        column = np.full(len(names), -1)
+        column[some] = np.arange(len(some))
+        left, right = np.zeros((r, len(some)), np.float32), np.zeros((c, len(some)), np.float32)
+        i, j = column[e] >= 0, column[f] >= 0
+        left[own[i], column[e[i]]] = 1
+        right[other[j], column[f[j]]] = 1
+        both += left @ right.T
+    light = np.ones(len(names), bool)
+    light[heavy] = False
+    own, e = own[light[e]], e[light[e]]
+    done = np.concatenate([[0], np.cumsum(m[e])])
+    k = 0
+    while k < len(e):
+        stop = max(k + 1, int(np.searchsorted(done, done[k] + 4_000_000, side="right")) - 1)
+        times = m[e[k:stop]]
+        b = other[np.arange(times.sum()) + np.repeat(first[e[k:stop]] - (done[k:stop] - done[k]), times)]
+        code = np.repeat(own[k:stop], times) * c + b
+        if len(code) * 8 > r * c:
+            both += np.bincount(code, minlength=r * c).reshape(r, c)
+        else:
+            np.add.at(both.reshape(-1), code, 1)
+        k = stop
+    return both
+
+
+def forest(link: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, one name of their component) of all rows and columns (a class may be both) that a link touches."""
+    label = columns.copy()
+    heads = rows.copy()
+    for k in np.flatnonzero(link.any(1)).tolist():
+        old = np.unique(np.append(label[link[k]], heads[k]))
+        if old[0] != old[-1]:
+            for held in (label, heads):
+                held[np.isin(held, old)] = old[0]
+    i, j = link.any(1), link.any(0)
+    return np.concatenate([rows[i], columns[j]]), np.concatenate([heads[i], label[j]])
+
+
+def link_cells(table: pa.Table, percent: int) -> pa.Table:
+    """Cells (home, j, c) of rows (side 0) and columns (side 1): the links of each row (rows of the other classes), and a forest."""
+    cell = [table[x].to_numpy() for x in ("side", "c", "j", "home")]
+    order = np.lexsort(cell)
+    side, c, j, home = (x[order] for x in cell)
+    cls, n, m = (table[x].to_numpy()[order] for x in ("cls", "n", "m"))
+    own = table["own"].combine_chunks()
+    own = pa.concat_arrays(own.chunks) if isinstance(own, pa.ChunkedArray) else own
+    values, offsets = own.values.to_numpy(), own.offsets.to_numpy()
+    pick = lambda rows: (np.concatenate([values[offsets[k] : offsets[k + 1]] for k in rows.tolist()]), np.concatenate([[0], np.cumsum(offsets[rows + 1] - offsets[rows])]))
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+    new = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (j[1:] != j[:-1]) | (c[1:] != c[:-1])]))
+    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(cls)]):
+        at = a + int(np.searchsorted(side[a:b], 1))
+        if at in (a, b) or b - at == 1 and at - a == 1 and cls[a] == cls[at]:
+            continue
+        both = shared_counts(pick(order[a:at]), pick(order[at:b])).astype(np.int64)
+        link = both * (100 + percent) >= percent * (n[a:at, None] + n[None, at:b])
+        link &= cls[a:at, None] != cls[None, at:b]
+        for held, x in zip(out, (cls[a:at], (link * m[None, at:b]).sum(1), *forest(link, cls[a:at], cls[at:b]))):
+            held.append(x)
+    named, others, node, root = map(np.concatenate, out)
+    none = lambda x: pa.nulls(len(x), pa.int64())
+    both = [pa.chunked_array([x, y]) for x, y in ((pa.array(named), pa.array(node)), (pa.array(others), none(node)), (none(named), pa.array(root)))]
+    return pa.table(dict(zip(("cls", "others", "root"), both)))
+
+
+def crowded(stake: DataFrame, percent: int, block: int = 2048) -> DataFrame:
+    """Of sets (cls, n, m: rows of the class, own: elements): cls and others, the rows of other classes that are similar, in parts
+    to be summed; and cls and root, links enough to reach what all links reach."""
+    spark = stake.sparkSession
+    holders = stake.select("cls", F.explode("own").alias("e")).groupBy("e").agg(F.collect_list("cls").alias("who")).where(F.size("who") > 1)
+    shared = holders.select("e", F.size("who").alias("df"), F.explode("who").alias("cls")).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"))
+    # elements that no other set has come first in the order; what is left of the prefix are the first of the others
+    sets = shared.join(stake.select("cls", "n", "m"), "cls").withColumn("k", F.size("s") - F.expr(f"cast((n * {percent} + 99) div 100 as int)") + 1).where("k > 0")
+    sets = sets.withColumn("prefix", F.expr("slice(s, 1, k)"))
+    sets = written(sets.select("cls", "n", "m", F.expr("transform(s, x -> x.e)").alias("own"), F.expr("transform(prefix, x -> x.e)").alias("prefix"), F.expr("filter(prefix, x -> 2 * x.df >= element_at(prefix, -1).df)[0].e").alias("home")), "sets")
+    meet = sets.select("home", "cls", F.explode("prefix").alias("e")).groupBy("e").agg(F.collect_set("home").alias("homes"), F.collect_list(F.struct("home", "cls")).alias("who")).where("size(homes) > 1")
+    away = written(meet.select(F.explode("homes").alias("home"), "who").select("home", F.explode(F.expr("filter(who, x -> x.home != home)")).alias("x")).select("home", F.col("x.home").alias("other"), "x.cls").distinct(), "away")
+    # a home moves in with the largest that it meets, twice: a crowd's sets travel to few homes then
+    members = sets.groupBy("home").agg(F.count("*").alias("size"))
+    met = away.select("home", "other").distinct().join(members.withColumnRenamed("home", "other"), "other").groupBy("home").agg(F.max(F.struct("size", "other")).alias("x"))
+    move = written(members.join(met, "home", "left").select("home", F.when(F.struct("size", "home") < F.col("x"), F.col("x.other")).otherwise(F.col("home")).alias("to")), "move")
+    move = written(move.join(move.select(F.col("home").alias("to"), F.col("to").alias("last")), "to").select("home", F.col("last").alias("to")), "move")
+    columns = away.select("home", "cls").unionByName(sets.select("home", "cls")).join(move, "home").select(F.col("to").alias("home"), "cls")
+    columns = written(columns.distinct(), "columns")
+    sets = sets.join(move, "home").select("cls", "n", "m", "own", F.col("to").alias("home"))
+    sizes = columns.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("wide")).join(sets.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts")), "home")
+    place, every = lambda cuts: F.pmod(F.xxhash64("cls"), F.col(cuts)).cast("int"), lambda cuts: F.explode(F.sequence(F.lit(0), F.col(cuts) - 1))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), columns.count() // 4000)
+    down = sets.join(sizes, "home").select("home", place("cuts").alias("j"), every("wide").alias("c"), F.lit(0).alias("side"), "cls")
+    across = columns.join(sizes, "home").select("home", every("cuts").alias("j"), place("wide").alias("c"), F.lit(1).alias("side"), "cls")
+    cells = down.unionByName(across).join(sets.select("cls", "n", "m", "own"), "cls").withColumn("bucket", F.pmod(F.xxhash64("home", "j", "c"), F.lit(buckets)))
+    return written(cells.groupBy("bucket").applyInArrow(lambda t: link_cells(t, percent), "cls long, others long, root long"), "crowded")
+
+
+def similar_classes(docs: DataFrame, percent: int = 70, n: int = 3, often: int = 16, crowd: int = 48, block: int = 2048, block_pairs: int = 20_000, broadcast_ids: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, crowds): members has id (doc_id, null as the lowest long), cls and n of every row; links has a < b, the
+    classes of different sets whose similarity is at least percent / 100, but for links of two sets that have too much in common
+    with too many: crowds has these (see `crowded`)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    common = spark.sparkContext.broadcast(common_elements(texts, n, sample, often))  # bounded by `most`
+    common = spark.sparkContext.broadcast(common_elements(texts, n, often))  # bounded by `most`
     least_buckets = 2 * max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cores = spark.sparkContext.defaultParallelism
     low = bands(percent)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,47 +504,57 @@ def similar_classes(docs: DataFrame, percent: int = 70, n: int = 3, sample: int
                     cls, first = cls[new], first[new]
                     rows = np.arange(sizes[first].sum()) + np.repeat(at[first] - np.concatenate([[0], np.cumsum(sizes[first])])[:-1], sizes[first])
                     elements, sizes = elements[rows], sizes[first]
-                    signed = signatures(elements, np.concatenate([[0], np.cumsum(sizes)]), common.value[0], percent, level, common.value[1])
+                    signed = signatures(elements, np.concatenate([[0], np.cumsum(sizes)]), common.value, percent, level)
                     numbers, blocks = pack_blocks(signed, cls, sizes, routes)
                     yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
         return sign
 
-    def meeting(level: int):
-        def meet(table: pa.Table) -> pa.Table:
-            a, b, names, hot, slack = candidates(table["block"].to_pylist(), percent, crowd if level < LAST else None)
-            none = pa.nulls(len(a), pa.int64())
-            told = [pa.chunked_array([x, y]) for x, y in ((pa.array(a), pa.array(names)), (pa.array(b), pa.nulls(len(names), pa.int64())), (none, pa.array(hot)), (none, pa.array(slack)))]
-            return pa.table(dict(zip(("a", "b", "hot", "slack"), told)))
-
-        return meet
+    def meet(table: pa.Table) -> pa.Table:
+        a, b, names, hot, slack = candidates(table["block"].to_pylist(), percent, crowd)
+        none = pa.nulls(len(a), pa.int64())
+        told = [pa.chunked_array([x, y]) for x, y in ((pa.array(a), pa.array(names)), (pa.array(b), pa.nulls(len(names), pa.int64())), (none, pa.array(hot)), (none, pa.array(slack)))]
+        return pa.table(dict(zip(("a", "b", "hot", "slack"), told)))
 
     rows, at_stake, pairs = texts, members, None
-    for level in range(LAST + 1):
-        routes = Routes({r.band: r["count"] for r in at_stake.where("n > 0").groupBy("band").count().collect()}, percent, level, least_buckets if level < LAST else cores)  # a row a band; few buckets find a pair of the last round few times
-        met = written(rows.mapInArrow(signer(level, routes), "bucket int, block binary").groupBy("bucket").applyInArrow(meeting(level), "a long, b long, hot long, slack long"), f"round{level}")
+    for level in range(LAST):
+        routes = Routes({r.band: r["count"] for r in at_stake.where("n > 0").groupBy("band").count().collect()}, percent, level, least_buckets)  # a row a band
+        met = written(rows.mapInArrow(signer(level, routes), "bucket int, block binary").groupBy("bucket").applyInArrow(meet, "a long, b long, hot long, slack long"), f"round{level}")
         found = met.where("b is not null").select("a", "b")
         pairs = found if pairs is None else pairs.unionByName(found)
-        if level == LAST:
-            break
         short = met.where("b is null").groupBy("a").agg(F.sum("hot").alias("hot"), F.first("slack").alias("slack")).where("hot >= slack")
-        at_stake = written(members.join(short.select(F.col("a").bitwiseAND(F.lit(-2)).alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("band").alias("band")), "short")
+        at_stake = written(members.join(short.select(F.col("a").bitwiseAND(F.lit(-2)).alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("band").alias("band"), F.count("*").alias("m")), "short")
         left = at_stake.count()
-        if not left:
-            break
         ids = at_stake.select("id").distinct()
         rows = texts.join(F.broadcast(ids) if left <= broadcast_ids else ids, "id", "left_semi")  # 8 bytes each; beyond, a shuffled join
+        if not left:
+            break
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                elements, at = sets_of(part["text"], n)
+                yield pa.RecordBatch.from_arrays([pa.array(class_keys(elements, at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(elements.view(np.int64)))], names=["cls", "own"])
+
+    late = at_stake.select("cls", "n", "m")
+    if left:
+        held = rows.select("text").mapInArrow(gather, "cls long, own array<long>").join(late, "cls")  # a doc_id may have other texts too
+        crowds = crowded(held.groupBy("cls").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("own").alias("own")), percent, block)
+    else:
+        crowds = spark.createDataFrame([], "cls long, others long, root long")
     pairs = pairs.distinct()
     classes = members.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    late = late.select("cls", F.lit(True).alias("late"))
+    classes = classes.join(F.broadcast(late) if left <= broadcast_ids else late, "cls", "left").withColumn("late", F.coalesce("late", F.lit(False)))
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [may_be_similar(x, y, p, q, percent) for x, y, p, q in zip(*(batch[c].to_pylist() for c in ("x", "y", "p", "q")))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("p"), F.col("sketch").alias("x"))
-    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("q"), F.col("sketch").alias("y"))
-    close = written(pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q", "x", "y").mapInArrow(screen, "a long, b long"), "close")
+    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("p"), F.col("sketch").alias("x"), F.col("late").alias("s"))
+    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("q"), F.col("sketch").alias("y"), F.col("late").alias("t"))
+    close = written(pairs.join(left, "a").join(right, "b").where("not (s and t)").select("a", "b", "p", "q", "x", "y").mapInArrow(screen, "a long, b long"), "close")
 
     # Each pair goes to the group of the smallest class next to it; groups of many pairs are cut into blocks.
     ends = close.select("a", "b").union(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -431,19 +567,13 @@ def similar_classes(docs: DataFrame, percent: int = 70, n: int = 3, sample: int
     wanted = written(members.join(needed.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id")).select("id").distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted  # 8 bytes each; beyond, a shuffled join
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch):
-                elements, at = sets_of(part["text"], n)
-                yield pa.RecordBatch.from_arrays([pa.array(class_keys(elements, at)), pa.array([elements[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], names=["cls", "own"])
-
-    sets = texts.join(wanted, "id", "left_semi").select("text").mapInArrow(gather, "cls long, own binary").join(needed.withColumnRenamed("g", "h"), "cls").select("h", "cls", "own")
+    sets = texts.join(wanted, "id", "left_semi").select("text").mapInArrow(gather, "cls long, own array<long>").join(needed.withColumnRenamed("g", "h"), "cls").select("h", "cls", "own")
 
     def compare(some: pa.Table, own: pa.Table) -> pa.Table:
-        held = dict(zip(own["cls"].to_pylist(), own["own"].to_pylist()))
+        held = dict(zip(own["cls"].to_pylist(), (x.values.to_numpy().view(np.uint64) for x in own["own"])))
         a, b = [], []
         for x, y in zip(some["a"].to_pylist(), some["b"].to_pylist()):
-            p, q = np.frombuffer(held[x], np.uint64), np.frombuffer(held[y], np.uint64)
+            p, q = held[x], held[y]
             both = len(np.intersect1d(p, q, assume_unique=True))
             if both * 100 >= percent * (len(p) + len(q) - both):
                 a.append(x)
@@ -451,7 +581,7 @@ def similar_classes(docs: DataFrame, percent: int = 70, n: int = 3, sample: int
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     links = routed.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(compare, "a long, b long")
-    return members, written(links, "links")
+    return members, written(links, "links"), crowds
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -473,9 +603,10 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _class_stats(members: DataFrame, links: DataFrame) -> DataFrame:
+def _class_stats(members: DataFrame, links: DataFrame, crowds: DataFrame) -> DataFrame:
     """cls, root, m (rows of the class), low (its smallest doc_id) of every class with words."""
     counts = members.where("n > 0").groupBy("cls").agg(F.count("*").alias("m"), F.min(F.when(F.col("id") != NONE, F.col("id"))).alias("low"))
+    links = links.select("a", "b").unionByName(crowds.where("root is not null").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     roots = written(components(links), "roots").withColumnRenamed("node", "cls")
     return counts.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
@@ -483,8 +614,8 @@ def _class_stats(members: DataFrame, links: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 70, n: int = 3, broadcast_ids: int = 1_000_000, **how) -> DataFrame:
     """docs with one row of each group of similar texts: that of the smallest doc_id (null only if no other; of rows alike in
     doc_id and group, one). Texts without words all stay. All columns stay; no other row is touched."""
-    members, links = similar_classes(docs, percent, n, **how)
-    placed = _class_stats(members, links)
+    members, links, crowds = similar_classes(docs, percent, n, **how)
+    placed = _class_stats(members, links, crowds)
     lows = placed.groupBy("root").agg(F.coalesce(F.min("low"), F.lit(NONE)).alias("keeper"))
     verdict = members.select("id", "cls", "n").distinct().join(placed.select("cls", "root").join(lows, "root").drop("low"), "cls", "left")
     verdict = written(verdict.select("id", "cls", "root", ((F.col("n") == 0) | (F.col("id") == F.col("keeper"))).alias("keep")), "verdicts")
@@ -517,10 +648,11 @@ def similar_documents(docs: DataFrame, percent: int = 70, n: int = 3, **how) ->
     linked with nothing. n_similar counts the other rows linked directly; component_id is the smallest doc_id in reach (a
     null doc_id counts as a row, but never names a component unless all are null). Repeated rows are rows of their own.
     """
-    members, links = similar_classes(docs, percent, n, **how)
-    placed = _class_stats(members, links)
+    members, links, crowds = similar_classes(docs, percent, n, **how)
+    placed = _class_stats(members, links, crowds)
     ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ends.join(placed.select(F.col("cls").alias("b"), "m"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("m").alias("others"))
+    linked = ends.join(placed.select(F.col("cls").alias("b"), "m"), "b").select(F.col("a").alias("cls"), F.col("m").alias("others"))
+    linked = linked.unionByName(crowds.where("others > 0").select("cls", "others")).groupBy("cls").agg(F.sum("others").alias("others"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     stats = placed.join(lows, "root").join(linked, "cls", "left").select("cls", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), "component_id")
     rows = members.select("id", "cls", "n").join(stats, "cls", "left")

@@ -148,6 +148,40 @@ def test_jaccard_rounds(spark):
     assert sorted(map(tuple, similar_documents(docs, crowd=2).collect())) == brute_components(texts)
 
 
+def crowd_of(m, seed=3):
+    """m near copies of one text, some of them less alike than 70 %, and lone texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(150)]
+    return [" ".join(word() if rng.random() < rate else w for w in base) for rate in (rng.choice([0.01, 0.03, 0.06]) for _ in range(m))] + [" ".join(word() for _ in range(30)) for _ in range(m // 4)]
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_jaccard_crowds(spark, block):
+    """The links of a crowd are counted in blocks, none is missing, and they aren't listed pair by pair."""
+    from quern.llm import partenum as E
+
+    texts = crowd_of(240)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:30])], "doc_id long, text string")
+    expected = brute_components(texts + texts[:30])
+    assert sum(n for _, _, n, _ in expected) > 20_000
+    assert sorted(map(tuple, E.similar_documents(docs, crowd=8, block=block).collect())) == expected
+    if block == 2048:
+        assert sorted(r.doc_id for r in E.keep_one(docs, crowd=8).collect()) == sorted({c for _, _, _, c in expected})
+        _, links, *crowds = E.similar_classes(docs, crowd=8)
+        assert links.count() + sum(x.count() for x in crowds) < 6_000
+
+
+def test_shared_counts():
+    """Against sets, with elements that nearly all have and elements that few have."""
+    from quern.llm import partenum as E
+
+    rng = np.random.default_rng(8)
+    groups = [[np.unique(np.append(rng.integers(0, 30, 20), rng.integers(0, 50_000, rng.integers(0, 400)))) for _ in range(k)] for k in (90, 130)]
+    rows, columns = ((np.concatenate(g), np.concatenate([[0], np.cumsum([len(x) for x in g])])) for g in groups)
+    assert E.shared_counts(rows, columns).tolist() == [[len(np.intersect1d(x, y)) for y in groups[1]] for x in groups[0]]
+
+
 def test_jaccard_odd(odd, empty):
     from quern.llm.partenum import keep_one, similar_documents
 
