@@ -182,6 +182,19 @@ def test_shared_counts():
     assert E.shared_counts(rows, columns).tolist() == [[len(np.intersect1d(x, y)) for y in groups[1]] for x in groups[0]]
 
 
+def boilerplate(spark):
+    """40,000 rows; one line is in 16 of them, another in 15."""
+    return spark.range(40_000).selectExpr("id as doc_id", "case when id % 2500 = 0 then 'one two three' when id % 2500 = 1 and id > 1 then 'four five six' else concat('a', id, ' b', id, ' c', id) end as text")
+
+
+def test_common_counts_every_row(spark):
+    """Common elements are those of 16 sets or more of all rows, whatever the size of the table."""
+    from quern.llm import partenum as E
+
+    texts = boilerplate(spark).withColumnRenamed("doc_id", "id")
+    assert E.common_elements(texts, 3, 16).tolist() == (E.sets_of(pa.array(["one two three"]), 3)[0] >> np.uint64(32)).tolist()
+
+
 def test_jaccard_odd(odd, empty):
     from quern.llm.partenum import keep_one, similar_documents
 
