@@ -195,6 +195,18 @@ def test_common_counts_every_row(spark):
     assert E.common_elements(texts, 3, 16).tolist() == (E.sets_of(pa.array(["one two three"]), 3)[0] >> np.uint64(32)).tolist()
 
 
+def test_pipeline_counts_every_row(spark, monkeypatch):
+    """The pipeline's Jaccard stage counts its common elements over every row."""
+    import corpus_pipeline
+    from quern.llm import partenum as E
+
+    seen, count = [], E.common_elements
+    monkeypatch.setattr(E, "common_elements", lambda *a, **k: seen.append(count(*a, **k)) or seen[-1])
+    kept = corpus_pipeline.jaccard_join(spark, boilerplate(spark), "")
+    assert seen[0].tolist() == (E.sets_of(pa.array(["one two three"]), 3)[0] >> np.uint64(32)).tolist()
+    assert kept.count() == 40_000 - 15 - 14
+
+
 def test_jaccard_odd(odd, empty):
     from quern.llm.partenum import keep_one, similar_documents
 
