@@ -23,7 +23,9 @@ of these elements. A home's sets are held against all sets that share a prefix e
 one of them, as blocks of a matrix product, which gives each set the number of its links
 and a forest of them. This part is prefix filtering, not PartEnum.
 
-Signatures travel as packed blocks, 6 bytes each. A band's share of all signatures says
+Signatures travel as packed blocks, 6 bytes each with the number of the signer; what a signer is goes once, and is joined to
+pairs of numbers, so a signature takes as much whatever the number of buckets. Of a class's copies that of the lowest id
+signs (`first_copies`; others may, which makes work, not errors). A band's share of all signatures says
 into how many places its groups are cut, and places go to buckets in turn, so buckets
 are alike whatever the lengths of the texts. Candidates pass an exact bound on
 the difference (parity sketches of 2 bits an element), then sets are compared.
@@ -208,52 +210,73 @@ class Routes:
 
 
 def pack_blocks(signed: Signed, cls: np.ndarray, sizes: np.ndarray, routes: Routes) -> tuple[list[int], list[bytes]]:
-    """(buckets, blocks): in a block 8 bytes of counts, then signers' names (the class and, as its lowest bit, the step), sizes and
-    slacks, then 32 bits of each signature and 16 of its signer's place in the block."""
-    lost = np.flatnonzero(signed.slack <= 0)  # they must be known to a bucket, signatures or not
-    alone = vec.mix(cls[signed.of[lost]].view(np.uint64) + signed.step[lost].astype(np.uint64))
-    bucket = np.concatenate([routes.bucket(signed), (alone % np.uint64(routes.buckets)).astype(np.int32)])
-    who, sig = np.concatenate([signed.who, lost]), np.concatenate([signed.sig, alone])
-    names, slack = cls[signed.of] | signed.step, np.clip(signed.slack, -(2**15), 2**15 - 1).astype("<i2")
-    sizes = sizes[signed.of].astype("<u4")
-    order = np.lexsort([who, bucket])
-    edge = np.searchsorted(bucket[order], np.arange(routes.buckets + 1))
-    numbers, blocks = [], []
-    for k in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-        for a in range(edge[k], edge[k + 1], 1 << 20):
-            some = order[a : min(a + (1 << 20), edge[k + 1])]
-            own = who[some]
-            new = np.concatenate([[True], own[1:] != own[:-1]])
-            ref, present = np.cumsum(new) - 1, own[new]
-            for b in range(0, len(present), 65536):  # a reference has 16 bits
-                lo, hi = np.searchsorted(ref, [b, b + 65536])
-                c = present[b : b + 65536]
-                numbers.append(k)
-                blocks.append(b"".join([np.array([len(c), hi - lo], "<u4").tobytes(), names[c].astype("<i8").tobytes(), sizes[c].tobytes(), slack[c].tobytes(), (sig[some[lo:hi]] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (ref[lo:hi] - b).astype("<u2").tobytes()]))
+    """(buckets, blocks) of a part of the rows. A block has 8 bytes, the name of the part (of its signers, 65536 at most, and their
+    order), then 32 bits of each signature and 16 of its signer's place in the part, as differences, low bytes first. A signer's
+    class (and, as its lowest bit, the step), size and slack go once, to a bucket beyond those of signatures (`signer_rows`)."""
+    names = (cls[signed.of] | signed.step).astype("<i8")
+    slack, sizes = np.clip(signed.slack, -(2**15), 2**15 - 1).astype("<i2"), sizes[signed.of].astype("<u4")
+    numbers, blocks, parts = [], [], []
+    for k in range(0, len(names), 65536):
+        some = slice(k, k + 65536)
+        at = np.arange(len(names[some]), dtype=np.uint64)
+        part = vec.mix(vec.mix(names[some].view(np.uint64) + at * np.uint64(vec.BASE)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(at)))
+        parts.append((part & ~np.uint64(0xFFFF)).astype("<u8").tobytes())
+        numbers.append(routes.buckets + int(part[0] >> np.uint64(16)) % routes.buckets)
+        blocks.append(b"".join([parts[-1], names[some].tobytes(), sizes[some].tobytes(), slack[some].tobytes()]))
+    key = routes.bucket(signed).astype(np.int64) * max(1, len(parts)) + (signed.who >> 16)
+    order = np.lexsort([signed.who, key])
+    edge = np.flatnonzero(np.diff(key[order], prepend=-1, append=-1)).tolist()
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        bucket, part = divmod(int(key[order[lo]]), len(parts))
+        for k in range(lo, hi, 1 << 20):
+            some = order[k : min(k + (1 << 20), hi)]
+            places = np.diff(signed.who[some] & 0xFFFF, prepend=0).astype("<u2").view("u1").reshape(-1, 2).T
+            numbers.append(bucket)
+            blocks.append(b"".join([parts[part], (signed.sig[some] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), places.tobytes()]))
     return numbers, blocks
 
 
-def candidates(blocks: list[bytes], percent: int, crowd: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, names, hot, slack) of packed blocks: distinct pairs of classes that share a signature and whose sizes allow the
-    similarity; and signers with signatures in more than `crowd` sets, how many, and their slack (those without slack too)."""
-    heads = [np.frombuffer(block, "<u4", 2).tolist() for block in blocks]
-    take = lambda kind, at, n: np.concatenate([np.frombuffer(block, kind, c, 8 + at * c) for block, (c, _) in zip(blocks, heads)])[n]
-    names, first, inverse = np.unique(take("<i8", 0, slice(None)), return_index=True, return_inverse=True)
-    size, slack = take("<u4", 8, first).astype(np.int64), take("<i2", 12, first).astype(np.int64)
-    packed = np.empty(sum(m for _, m in heads), np.uint64)
+def signer_rows(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, classes, sizes, slacks) of the signers of blocks beyond those of signatures."""
+    out: list[list[np.ndarray]] = [[] for _ in range(4)]
+    for block in blocks:
+        c = (len(block) - 8) // 14
+        number = np.frombuffer(block, "<u8", 1) | np.arange(c, dtype=np.uint64)
+        for held, x in zip(out, (number.view(np.int64), np.frombuffer(block, "<i8", c, 8) & ~1, np.frombuffer(block, "<u4", c, 8 + 8 * c), np.frombuffer(block, "<i2", c, 8 + 12 * c))):
+            held.append(x.astype(np.int64))
+    return tuple(map(np.concatenate, out))
+
+
+def candidates(blocks: list[bytes], crowd: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, names, hot) of packed blocks, signers as numbers: distinct pairs that share a signature; and signers with signatures
+    in more than `crowd` sets, and how many."""
+    each = [(len(block) - 8) // 6 for block in blocks]
+    numbers, refs = [np.zeros(0, np.uint64)], []
+    packed = np.empty(sum(each), np.uint64)
     done = n = 0
-    inverse = inverse.astype(np.uint64)
-    for block, (c, m) in zip(blocks, heads):
+    for block, m in zip(blocks, each):
+        place = np.cumsum(np.ascontiguousarray(np.frombuffer(block, "u1", 2 * m, 8 + 4 * m).reshape(2, -1).T).view("<u2").ravel(), dtype=np.uint64)
+        new = np.concatenate([[True], place[1:] != place[:-1]])
+        numbers.append(np.frombuffer(block, "<u8", 1) | place[new])
         part = packed[done : done + m]
-        part[:] = np.frombuffer(block, "<u4", m, 8 + 14 * c)
+        part[:] = np.frombuffer(block, "<u4", m, 8)
         part <<= np.uint64(32)
-        part |= inverse[n + np.frombuffer(block, "<u2", m, 8 + 14 * c + 4 * m).astype(np.int64)]
-        done, n = done + m, n + c
+        part |= (np.cumsum(new) + (n - 1)).astype(np.uint64)
+        refs.append((done, done + m))
+        done, n = done + m, n + len(numbers[-1])
+    names, inverse = np.unique(np.concatenate(numbers).view(np.int64), return_inverse=True)
+    if len(names) < n:  # a part's block was cut
+        inverse = inverse.astype(np.uint64)
+        for lo, hi in refs:
+            part = packed[lo:hi]
+            part[:] = part >> np.uint64(32) << np.uint64(32) | inverse[(part & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    else:
+        names = np.concatenate(numbers).view(np.int64)
     packed.sort()
     if len(packed):
         packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
     sig, who = (packed >> np.uint64(32)).astype(np.uint32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    del packed, inverse
+    del packed, inverse, numbers
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     count = np.diff(np.concatenate([start, [len(sig)]]))
     hot = np.zeros(len(names), np.int64)
@@ -270,8 +293,7 @@ def candidates(blocks: list[bytes], percent: int, crowd: int | None) -> tuple[np
 
     def add(a: np.ndarray, b: np.ndarray) -> None:
         nonlocal found, held
-        ok = np.minimum(size[a], size[b]) * 100 >= percent * np.maximum(size[a], size[b])
-        code = np.unique(a[ok] << 32 | b[ok])
+        code = np.unique(a << 32 | b)
         found.append(code)
         held += len(code)
         if held > 500_000:
@@ -296,9 +318,9 @@ def candidates(blocks: list[bytes], percent: int, crowd: int | None) -> tuple[np
                     b = np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times) + a + 1
                     add(own[a], own[b])
     code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    told = np.flatnonzero((hot > 0) | (slack <= 0))
-    a, b = names[code >> 32] & ~1, names[code & 0xFFFFFFFF] & ~1
-    return np.minimum(a, b), np.maximum(a, b), names[told], hot[told], slack[told]
+    told = np.flatnonzero(hot)
+    a, b = names[code >> 32], names[code & 0xFFFFFFFF]
+    return np.minimum(a, b), np.maximum(a, b), names[told], hot[told]
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -351,6 +373,32 @@ def common_elements(texts: DataFrame, n: int, often: int, most: int = 1_000_000,
     return np.sort(np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r.block, "<u4") for r in found)]))
 
 
+def known(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows, none of which may lack one of columns: a part is named by its rows and their order, so if a lost task ran again with
+    rows in another order, numbers of signers could name nothing; that fails, and loses no pair."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if any(batch[c].null_count for c in columns):
+                raise RuntimeError("a number of no signer: the rows of docs came in another order when a task ran again")
+            yield batch
+
+    return rows.mapInArrow(check, rows.schema)
+
+
+def first_copies(members: DataFrame, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(classes of several rows, sorted, and the lowest id of each): `most` at most, those of the most rows; they steer the work only."""
+    several = written(members.where("n > 0").groupBy("cls").agg(F.count("*").alias("m"), F.min("id").alias("id")).where("m > 1"), "copied")
+    held, least = 0, None
+    for m, k in sorted(map(tuple, several.groupBy("m").count().collect()), reverse=True):  # fewer than the root of twice the rows
+        held += k
+        if held > most:
+            break
+        least = m
+    found = several.where(F.col("m") >= (least or 1 << 62)).select("cls", "id").toArrow().sort_by("cls")
+    return found["cls"].to_numpy(), found["id"].to_numpy()
+
+
 def shared_counts(rows: tuple[np.ndarray, np.ndarray], columns: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """How many elements each set of rows shares with each of columns (elements of a set distinct, end to end, and offsets):
     elements that many have by matrix products, others pair by pair."""
@@ -488,6 +536,7 @@ def similar_classes(docs: DataFrame, percent: int = 70, n: int = 3, often: int =
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(cls), pa.array(np.diff(at)), pa.array(band, pa.int32()), pa.array(sketches, pa.binary())], names=["id", "cls", "n", "band", "sketch"])
 
     members = written(texts.mapInArrow(describe, "id long, cls long, n long, band int, sketch binary"), "members")
+    copied = spark.sparkContext.broadcast(first_copies(members))  # bounded by `most`
 
     def signer(level: int, routes: Routes):
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -498,7 +547,11 @@ def similar_classes(docs: DataFrame, percent: int = 70, n: int = 3, often: int =
                     elements = np.concatenate([x[0] for x in found])
                     sizes = np.concatenate([np.diff(x[1]) for x in found])
                     at = np.concatenate([[0], np.cumsum(sizes)])
-                    cls, first = np.unique(class_keys(elements, at), return_index=True)
+                    names, ids = class_keys(elements, at), part["id"].to_numpy(zero_copy_only=False)
+                    place = np.minimum(np.searchsorted(copied.value[0], names), len(copied.value[0]) - 1)
+                    own = np.flatnonzero((copied.value[0][place] != names) | (copied.value[1][place] == ids)) if len(copied.value[0]) else np.arange(len(names))
+                    cls, first = np.unique(names[own], return_index=True)
+                    first = own[first]
                     new = np.array([c not in seen for c in cls.tolist()], bool) & (sizes[first] > 0)
                     seen.update(cls.tolist())
                     cls, first = cls[new], first[new]
@@ -510,23 +563,36 @@ def similar_classes(docs: DataFrame, percent: int = 70, n: int = 3, often: int =
 
         return sign
 
-    def meet(table: pa.Table) -> pa.Table:
-        a, b, names, hot, slack = candidates(table["block"].to_pylist(), percent, crowd)
-        none = pa.nulls(len(a), pa.int64())
-        told = [pa.chunked_array([x, y]) for x, y in ((pa.array(a), pa.array(names)), (pa.array(b), pa.nulls(len(names), pa.int64())), (none, pa.array(hot)), (none, pa.array(slack)))]
-        return pa.table(dict(zip(("a", "b", "hot", "slack"), told)))
+    def meeter(buckets: int):
+        def meet(table: pa.Table) -> pa.Table:
+            blocks = table["block"].to_pylist()
+            if table["bucket"][0].as_py() >= buckets:
+                a, cls, size, slack = signer_rows(blocks)
+                none = pa.nulls(len(a), pa.int64())
+                return pa.table({"a": a, "b": none, "hot": none, "cls": cls, "n": size, "slack": slack})
+            a, b, names, hot = candidates(blocks, crowd)
+            none = pa.nulls(len(a) + len(names), pa.int64())
+            told = [pa.chunked_array([x, y]) for x, y in ((pa.array(a), pa.array(names)), (pa.array(b), none[: len(names)]), (none[: len(a)], pa.array(hot)))]
+            return pa.table(dict(zip(("a", "b", "hot", "cls", "n", "slack"), (*told, none, none, none))))
+
+        return meet
 
     rows, at_stake, pairs = texts, members, None
     for level in range(LAST):
         routes = Routes({r.band: r["count"] for r in at_stake.where("n > 0").groupBy("band").count().collect()}, percent, level, least_buckets)  # a row a band
-        met = written(rows.mapInArrow(signer(level, routes), "bucket int, block binary").groupBy("bucket").applyInArrow(meet, "a long, b long, hot long, slack long"), f"round{level}")
-        found = met.where("b is not null").select("a", "b")
+        met = written(rows.mapInArrow(signer(level, routes), "bucket int, block binary").groupBy("bucket").applyInArrow(meeter(routes.buckets), "a long, b long, hot long, cls long, n long, slack long"), f"round{level}")
+        signers = met.where("cls is not null")
+        one, other = signers.select("a", F.col("cls").alias("x"), F.col("n").alias("p")), signers.select(F.col("a").alias("b"), F.col("cls").alias("y"), F.col("n").alias("q"))
+        found = met.where("b is not null").select("a", "b").distinct().join(one, "a", "left").join(other, "b", "left")
+        found = known(found, "x", "y").where(f"x != y and least(p, q) * 100 >= {percent} * greatest(p, q)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = found if pairs is None else pairs.unionByName(found)
-        short = met.where("b is null").groupBy("a").agg(F.sum("hot").alias("hot"), F.first("slack").alias("slack")).where("hot >= slack")
-        at_stake = written(members.join(short.select(F.col("a").bitwiseAND(F.lit(-2)).alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("band").alias("band"), F.count("*").alias("m")), "short")
+        hot = met.where("hot is not null").groupBy("a").agg(F.sum("hot").alias("total"))
+        short = known(signers.select("a", "cls", "slack").join(hot, "a", "full"), "cls").where("coalesce(total, 0) >= slack")
+        at_stake = written(members.join(short.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("band").alias("band"), F.count("*").alias("m")), "short")
         left = at_stake.count()
         ids = at_stake.select("id").distinct()
-        rows = texts.join(F.broadcast(ids) if left <= broadcast_ids else ids, "id", "left_semi")  # 8 bytes each; beyond, a shuffled join
+        # 8 bytes each; beyond, a shuffled join, in an order that a second run of a task has too: parts are named by it
+        rows = texts.join(F.broadcast(ids), "id", "left_semi") if left <= broadcast_ids else texts.join(ids, "id", "left_semi").sortWithinPartitions("id", "text")
         if not left:
             break
 

@@ -139,6 +139,83 @@ def test_buckets_are_even():
             assert load.max() <= 2 * load.mean()
 
 
+def test_blocks_of_signatures():
+    """Blocks give the pairs and the crowds that the signatures give, and take as much in many buckets as in few."""
+    from quern.llm import partenum as E
+
+    rng = np.random.default_rng(6)
+    base = [np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in rng.integers(1, 200, 300).tolist()]
+    sets = [x for b in base for x in (b, *(np.sort(np.append(b[:-1], rng.integers(0, 2**64, 1, dtype=np.uint64))) for _ in range(rng.integers(0, 4))))]
+    sizes = np.array([len(x) for x in sets])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    cls = E.class_keys(np.concatenate(sets), first)
+    band, n = np.unique(np.searchsorted(E.bands(70), sizes, side="right") - 1, return_counts=True)
+    bytes_of = {}
+    for buckets in (2, 400):
+        routes, held = E.Routes(dict(zip(band.tolist(), n.tolist())), 70, 0, buckets), {}
+        signed = [E.signatures(np.concatenate(sets[a:b]), np.concatenate([[0], np.cumsum(sizes[a:b])]), np.zeros(0, np.uint32), 70) for a, b in ((0, 250), (250, len(sets)))]
+        for a, s in zip((0, 250), signed):
+            for bucket, block in zip(*E.pack_blocks(s, cls[a:], sizes[a:], routes)):
+                held.setdefault(bucket, []).append(block)
+        bytes_of[buckets] = sum(len(x) for blocks in held.values() for x in blocks)
+        who, slack, hot, pairs, told = {}, {}, {}, set(), {}
+        for blocks in (b for k, b in held.items() if k >= buckets):
+            for number, c, size, left in zip(*(x.tolist() for x in E.signer_rows(blocks))):
+                assert number not in who and size == sizes[cls.tolist().index(c)]
+                who[number], slack[number] = c, left
+        assert sorted(who.values()) == sorted(2 * cls.tolist())
+        assert sorted(zip(who.values(), slack.values())) == sorted((c, int(x)) for a, s in zip((0, 250), signed) for c, x in zip(cls[a:][s.of].tolist(), s.slack))
+        for blocks in (b for k, b in held.items() if k < buckets):
+            a, b, names, count = E.candidates(blocks, 3)
+            pairs |= {tuple(sorted((who[x], who[y]))) for x, y in zip(a.tolist(), b.tolist())}
+            for x, k in zip(names.tolist(), count.tolist()):
+                told[who[x]] = told.get(who[x], 0) + k
+        have, expected = {}, set()
+        for a, s in zip((0, 250), signed):
+            for sig, w in zip(s.sig.tolist(), s.who.tolist()):
+                have.setdefault(sig, set()).add(int(cls[a:][s.of[w]]))
+        for x in have.values():
+            if len(x) <= 3:
+                expected |= set(combinations(sorted(x), 2))
+            else:
+                for c in x:
+                    hot[c] = hot.get(c, 0) + 1
+        assert pairs == expected and told == hot and hot
+    assert bytes_of[400] < 1.25 * bytes_of[2]
+
+
+def test_first_copies(spark):
+    """The classes of the most rows, whole counts of copies at a time, with their lowest ids."""
+    from quern.llm import partenum as E
+
+    members = spark.createDataFrame([(9, 4, 1), (8, 4, 1), (7, 4, 1), (6, 2, 5), (5, 2, 5), (4, 6, 5), (3, 8, 0), (2, 8, 0)], "id long, cls long, n long")
+    assert [x.tolist() for x in E.first_copies(members)] == [[2, 4], [5, 7]]
+    assert [x.tolist() for x in E.first_copies(members, 1)] == [[4], [7]]
+    assert [x.tolist() for x in E.first_copies(members, 0)] == [[], []]
+
+
+def test_numbers_of_no_signer_fail(spark):
+    from quern.llm import partenum as E
+
+    rows = spark.createDataFrame([(1, 2), (2, None)], "a long, x long")
+    assert E.known(rows, "a").count() == 2
+    with pytest.raises(Exception, match="a number of no signer"):
+        E.known(rows, "a", "x").where("x > 0").count()
+
+
+@pytest.mark.parametrize("listed", [True, False])
+def test_copies_that_sign(spark, monkeypatch, listed):
+    """Copies in many parts: the result is the same whether or not their class is in the list of copies."""
+    from quern.llm import partenum as E
+
+    texts = near_copies(5, 6, 5)
+    docs = spark.createDataFrame([(k, texts[k % len(texts)] if k % 3 else texts[0]) for k in range(3 * len(texts))], "doc_id long, text string").repartition(6).cache()
+    expected = brute_components([r.text for r in docs.orderBy("doc_id").collect()])
+    if not listed:
+        monkeypatch.setattr(E, "first_copies", lambda members: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert sorted(map(tuple, E.similar_documents(docs, crowd=3).collect())) == expected
+
+
 def test_jaccard_rounds(spark):
     """With a low bound on crowds the second and third round find what the first doesn't pair."""
     from quern.llm.partenum import similar_documents
