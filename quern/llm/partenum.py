@@ -264,19 +264,18 @@ def candidates(blocks: list[bytes], crowd: int | None) -> tuple[np.ndarray, np.n
         part |= (np.cumsum(new) + (n - 1)).astype(np.uint64)
         refs.append((done, done + m))
         done, n = done + m, n + len(numbers[-1])
-    names, inverse = np.unique(np.concatenate(numbers).view(np.int64), return_inverse=True)
-    if len(names) < n:  # a part's block was cut
+    names = np.concatenate(numbers).view(np.int64)
+    if len({block[:8] for block in blocks}) < len(blocks):  # a part's block was cut
+        names, inverse = np.unique(names, return_inverse=True)
         inverse = inverse.astype(np.uint64)
         for lo, hi in refs:
             part = packed[lo:hi]
             part[:] = part >> np.uint64(32) << np.uint64(32) | inverse[(part & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-    else:
-        names = np.concatenate(numbers).view(np.int64)
     packed.sort()
     if len(packed):
         packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
     sig, who = (packed >> np.uint64(32)).astype(np.uint32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    del packed, inverse, numbers
+    del packed, numbers
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     count = np.diff(np.concatenate([start, [len(sig)]]))
     hot = np.zeros(len(names), np.int64)

@@ -167,6 +167,8 @@ def test_blocks_of_signatures():
         assert sorted(zip(who.values(), slack.values())) == sorted((c, int(x)) for a, s in zip((0, 250), signed) for c, x in zip(cls[a:][s.of].tolist(), s.slack))
         for blocks in (b for k, b in held.items() if k < buckets):
             a, b, names, count = E.candidates(blocks, 3)
+            again = E.candidates([*blocks, *blocks], 3)  # as if each block were cut: a signer is in several
+            assert {*zip(a.tolist(), b.tolist())} == {*zip(again[0].tolist(), again[1].tolist())} and dict(zip(names, count)) == dict(zip(again[2], again[3]))
             pairs |= {tuple(sorted((who[x], who[y]))) for x, y in zip(a.tolist(), b.tolist())}
             for x, k in zip(names.tolist(), count.tolist()):
                 told[who[x]] = told.get(who[x], 0) + k
