@@ -15,6 +15,10 @@ was applied several times, with applying it once; so nothing is out of reach.
 It stops when the incumbent meets `lower_bound`, when all is tried (then it is optimal),
 or after `nodes` branchings (None: no end), with the incumbent: always a whole valid packing.
 
+The path can be thousands of levels deep. It has one histogram, which is changed on the way down and put back on the way up; a level
+keeps the filling it tried last, and only the deepest `LIVE` keep the tables of their fillings. Others make them again when the
+search is back at them, and go on after that filling.
+
 Defined results: null text is empty and has one piece of its end id (none without an end id); null doc_ids stay
 null; repeated rows are documents of their own; texts of any length are cut into pieces; an empty table gives no rows; only doc_id
 and text are read.
@@ -38,6 +42,9 @@ from quern.llm.wordbpe import encoder
 
 Run = tuple[tuple[int, ...], int]
 
+#: Levels of the search that keep the tables of their fillings (0.3 MB each at a capacity of 2048).
+LIVE = 32
+
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Run]:
     """Runs of best-fit decreasing over a histogram; equal open sequences are handled together."""
@@ -74,8 +81,8 @@ def _open(open_bins: Counter, gaps: dict, filled: tuple[int, ...], n: int, capac
     open_bins[filled] += n
 
 
-def fillings(counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
-    """The undominated fillings of room from counts, from the least waste on (sums are found by bit sets of what can be reached)."""
+def fillings(counts: dict[int, int], room: int, after: tuple[int, ...] | None = None) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of room from counts, from the least waste on (sums are found by bit sets of what can be reached); with after, one of them, only those behind it."""
     sizes = [s for s in sorted(counts, reverse=True) if s <= room and counts[s]]
     reach = [1]
     full = (1 << (room + 1)) - 1
@@ -88,26 +95,51 @@ def fillings(counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
         reach.append(now & full)
     reach.reverse()
 
-    def down(k: int, total: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-        if not total:
-            yield chosen
-            return
-        if k == len(sizes) or not reach[k] >> total & 1:
-            return
-        s = sizes[k]
-        for m in range(min(counts[s], total // s), -1, -1):
-            rest = total - m * s
-            if reach[k + 1] >> rest & 1:
-                yield from down(k + 1, rest, chosen + (s,) * m)
+    def fitting(k: int, m: int, rest: int) -> int:
+        """The most pieces of sizes[k], m at most, after which smaller ones can make up rest; -1 if there are none."""
+        while m >= 0 and not reach[k + 1] >> (rest - m * sizes[k]) & 1:
+            m -= 1
+        return m
+
+    def exactly(total: int, last: tuple[int, ...] | None) -> Iterator[tuple[int, ...]]:
+        """The fillings of total, those with larger pieces first; a loop, as sizes can be more than calls may be nested."""
+        path: list[tuple[int, int, int]] = []  # k, m, rest: m pieces of sizes[k], put where rest was to be filled
+        k, rest, used = 0, total, Counter(last)
+        for k, s in enumerate(sizes if last else ()):
+            if used[s]:
+                path.append((k, used[s], rest))
+                rest -= used[s] * s
+        while True:
+            if last is None:
+                while rest:
+                    m = fitting(k, min(counts[sizes[k]], rest // sizes[k]), rest)
+                    if m:
+                        path.append((k, m, rest))
+                        rest -= m * sizes[k]
+                    k += 1
+                yield tuple(sizes[k] for k, m, _ in path for _ in range(m))
+            last, m = None, -1
+            while path and m < 0:
+                k, m, rest = path.pop()
+                m = fitting(k, m - 1, rest)
+            if m < 0:
+                return
+            if m:
+                path.append((k, m, rest))
+                rest -= m * sizes[k]
+            k += 1
 
     top = reach[0]
+    if after is not None:
+        top &= (2 << sum(after)) - 1
     rising = sizes[::-1]
     while top:
         total = top.bit_length() - 1
         top ^= 1 << total
-        for filling in down(0, total, ()):
+        for filling in exactly(total, after):
             if not dominated(filling, counts, rising, room - total):
                 yield filling
+        after = None
 
 
 def dominated(filling: tuple[int, ...], counts: dict[int, int], rising: list[int], waste: int) -> bool:
@@ -146,6 +178,19 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
+class Level:
+    """A node on the path of the search: its largest length, the tokens left and the sequences used before its filling; the filling
+    last tried (again tells of which round) and how often it is applied now; whether one went several times; its fillings to come."""
+
+    __slots__ = ("large", "tokens", "used", "filling", "times", "several", "again", "more")
+
+    def __init__(self, large: int, tokens: int, used: int):
+        self.large, self.tokens, self.used = large, tokens, used
+        self.filling: tuple[int, ...] | None = None
+        self.times, self.several, self.again = 0, False, False
+        self.more: Iterator[tuple[int, ...]] | None = None
+
+
 def pack(counts: dict[int, int], capacity: int, nodes: int | None = 20_000) -> list[Run]:
     """A packing of the histogram counts (length: number) as runs; as few sequences as the search finds."""
     counts = {k: v for k, v in counts.items() if v}
@@ -156,47 +201,62 @@ def pack(counts: dict[int, int], capacity: int, nodes: int | None = 20_000) -> l
     bound = lower_bound(counts, capacity)
     best = best_fit_decreasing(counts, capacity)
     fewest = sum(n for _, n in best)
-    # A level of the search: what is left, its tokens, sequences used, runs so far, the fillings to come, and those to apply once.
-    stack: list[tuple[dict[int, int], int, int, list[Run], Iterator[tuple[int, ...]], list[tuple[int, ...]]]] = []
+    left = dict(counts)  # by the fillings that the path applies
+    path: list[Level] = []
 
-    def enter(left: dict[int, int], tokens: int, used: int, runs: list[Run]) -> None:
+    def enter(tokens: int, used: int) -> None:
         nonlocal best, fewest
-        if left and 2 * max(left) <= capacity and len(left) == 1:
+        ends: list[Run] = []
+        if len(left) == 1 and 2 * max(left) <= capacity:
             ((size, n),) = left.items()
             per = capacity // size
-            runs = runs + [((size,) * per, n // per)] * bool(n // per) + [((size,) * (n % per), 1)] * bool(n % per)
-            used, left = used + -(-n // per), {}
-        if not left:
-            if used < fewest:
-                best, fewest = runs, used
-        elif used + -(-tokens // capacity) < fewest:
-            large = max(left)
-            stack.append((left, tokens, used, runs, fillings({**left, large: left[large] - 1}, capacity - large), []))
-
-    enter(counts, sum(k * v for k, v in counts.items()), 0, [])
-    while stack and fewest > bound:
-        left, tokens, used, runs, more, once = stack[-1]
-        if used + -(-tokens // capacity) >= fewest:
-            stack.pop()
+            ends = [((size,) * per, n // per)] * bool(n // per) + [((size,) * (n % per), 1)] * bool(n % per)
+            used += -(-n // per)
+        elif left:
+            if used + -(-tokens // capacity) < fewest:
+                path.append(Level(max(left), tokens, used))
+                if len(path) > LIVE:
+                    path[-LIVE - 1].more = None
+            return
+        if used < fewest:
+            best, fewest = [((x.large, *x.filling), x.times) for x in path] + ends, used
+
+    enter(sum(k * v for k, v in counts.items()), 0)
+    while path and fewest > bound:
+        level = path[-1]
+        large = level.large
+        if level.times:  # back from below
+            for s, m in Counter((large, *level.filling)).items():
+                left[s] = left.get(s, 0) + level.times * m
+            level.times = 0
+        if level.used + -(-level.tokens // capacity) >= fewest:
+            path.pop()
             continue
-        filling = next(more, None)
-        times = None
+        if level.more is None:
+            level.more = fillings({**left, large: left[large] - 1}, capacity - large, level.filling)
+        filling = next(level.more, None)
         if filling is None:
-            if not once:
-                stack.pop()
-                continue
-            filling, times = once.pop(0), 1
+            if level.again or not level.several:
+                path.pop()
+            else:  # a second round, with those once that went several times
+                level.again, level.filling, level.more = True, None, None
+            continue
+        level.filling = filling
+        need = Counter((large, *filling))
+        most = min(left[s] // m for s, m in need.items())
+        if level.again and most == 1:
+            continue
         if nodes is not None:
             nodes -= 1
             if nodes < 0:
                 break
-        large = max(left)
-        need = Counter((large, *filling))
-        most = min(left[s] // m for s, m in need.items())
-        if times is None and most > 1:
-            once.append(filling)
-        n = times or most
-        enter({s: c - n * need[s] for s, c in left.items() if c > n * need[s]}, tokens - n * (large + sum(filling)), used + n, [*runs, ((large, *filling), n)])
+        level.several |= most > 1
+        level.times = 1 if level.again else most
+        for s, m in need.items():
+            left[s] -= level.times * m
+            if not left[s]:
+                del left[s]
+        enter(level.tokens - level.times * (large + sum(filling)), level.used + level.times)
     return best
 
 

@@ -727,6 +727,41 @@ def test_packing_is_optimal():
     assert not any(dominated(f, counts, sorted(counts), 12 - sum(f)) for f in got)
 
 
+def test_packing_search_keeps_little():
+    """Levels of the search far from its end keep no tables (with those of every level this search took 55 MB), and go on where they were."""
+    import tracemalloc
+    from collections import Counter
+
+    from quern.llm import packing
+
+    rng = random.Random(1)
+    counts = Counter(rng.randint(400, 800) for _ in range(3000))
+    tracemalloc.start()
+    try:
+        runs = packing.pack(counts, 2048, 500)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    used = Counter()
+    for filling, n in runs:
+        assert sum(filling) <= 2048
+        for s in filling:
+            used[s] += n
+    assert used == counts and most < 7e6
+    few = {s: rng.randint(1, 4) for s in rng.sample(range(1, 40), 9)}
+    every = list(packing.fillings(few, 50))
+    assert len(every) > 5 and all(list(packing.fillings(few, 50, f)) == every[k + 1 :] for k, f in enumerate(every))
+    assert next(packing.fillings(dict.fromkeys(range(1, 1024), 1), 1024)) == (1023, 1)  # more sizes than calls may be nested
+
+
+@pytest.mark.parametrize("live", [1, 2])
+def test_packing_is_optimal_with_few_tables(monkeypatch, live):
+    from quern.llm import packing
+
+    monkeypatch.setattr(packing, "LIVE", live)
+    test_packing_is_optimal()
+
+
 def test_packing(spark, odd, empty):
     from quern.llm.packing import pack_documents
 
